@@ -248,7 +248,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     n = pages.count()
     arrays = max(1, -(-n // ARRAY_PAGES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     parsed = bare(pages, "page_id", "url", "html").mapInPandas(parse, "page_id long, url string, host string, parts array<int>, lines array<string>")
-    parsed = stored(parsed.withColumn("array", F.pmod(F.xxhash64("page_id", "url"), F.lit(arrays)).cast("int")), "pages")
+    # parsed twice, which costs less than keeping all texts as a table
+    parsed = parsed.withColumn("array", F.pmod(F.xxhash64("page_id", "url"), F.lit(arrays)).cast("int"))
     outside = parsed.withColumn("kept", F.expr("filter(arrays_zip(parts, lines), x -> x.parts != 0)")).select("array", "host", F.col("kept.parts").alias("parts"), F.col("kept.lines").alias("lines"))
     windows = stored(outside.groupBy("array").applyInPandas(lambda key, b: _count_windows(b).assign(array=key[0]), "window long, pages long, array int"), "windows")
     repeated = windows.groupBy("window").agg(F.sum("pages").alias("n")).filter("n > 1").select("window")
