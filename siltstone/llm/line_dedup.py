@@ -101,7 +101,8 @@ def overlaps(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFrame
     lines = stored(lines, "lines")
     telling = lines.select("doc_id", F.explode(F.expr(f"array_distinct(transform(filter(arrays_zip(hashes, words), x -> x.words >= {least_words}), x -> x.hashes))")).alias("line"))
     first = telling.groupBy("line").agg(F.min("doc_id").alias("earlier"), F.count("*").alias("n")).filter("n > 1").select("line", "earlier")
-    pairs = telling.join(first, "line").filter("doc_id <> earlier").select(F.col("doc_id").alias("later"), "earlier").distinct()
+    # stored, so that a frequent line's rows can be split in the join
+    pairs = telling.join(stored(first, "first-lines"), "line").filter("doc_id <> earlier").select(F.col("doc_id").alias("later"), "earlier").distinct()
     return lines, pairs
 
 
