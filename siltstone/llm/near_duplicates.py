@@ -29,6 +29,8 @@ MANTISSA = 10
 ROWS_OF_BAND, BANDS = 6, 42
 #: Standard deviations by which an estimate may fall short of the threshold.
 MARGIN = 4.0
+#: Hashes of a set (the smallest ones, 32 bits each) that go with it into the second round; smaller sets go whole.
+FINE = 512
 #: Members of a bucket in one block.
 BLOCK = 2000
 # Fixed value: the collision constant of the HyperMinHash estimate.
@@ -97,7 +99,7 @@ def _registers(column) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set) and sketch of every whole text; both null for an empty set."""
+    """doc_id, n_shingles, digest (of the set), sketch and fine hashes of every whole text; null for an empty set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
@@ -105,10 +107,10 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for doc, s in zip(batch["doc_id"], shingle_sets(utf8(batch["text"]), WIDTH), strict=True):
-                rows.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, sketch(s).astype("<u2").tobytes() if len(s) else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "sketch"])
+                rows.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, sketch(s).astype("<u2").tobytes() if len(s) else None, (s[:FINE] >> np.uint64(32)).astype("<u4").tobytes() if len(s) else None))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "sketch", "fine"])
 
-    return bare(docs, "doc_id", "text").filter("doc_id is not null").mapInPandas(run, "doc_id long, n_shingles long, digest binary, sketch binary")
+    return bare(docs, "doc_id", "text").filter("doc_id is not null").mapInPandas(run, "doc_id long, n_shingles long, digest binary, sketch binary, fine binary")
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -163,6 +165,7 @@ def _across(key, block: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     registers = _registers(block["sketch"])
     n, comp, ids, part = (block[c].to_numpy(np.int64) for c in ("n", "component", "id", "block"))
     keys = _band_keys(registers)
+    fine = [np.frombuffer(x, "<u4") for x in block["fine"]]
     band = int(np.flatnonzero(keys[0] == bucket)[0])
     out = []
     left = np.flatnonzero(part == i)
@@ -175,7 +178,12 @@ def _across(key, block: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
         others = others[good]
         if band and len(others):
             others = others[~(keys[others, :band] == keys[a, :band]).any(1)]
-        out.extend((int(ids[a]), int(ids[b])) for b in others)
+        for b in others:
+            if n[a] <= FINE and n[b] <= FINE:  # whole sets: only links pass, one hash of slack for 32 bits that agree by chance
+                both = len(np.intersect1d(fine[a], fine[b], assume_unique=True)) + 1
+                if 100 * both < percent * (n[a] + n[b] - both):
+                    continue
+            out.append((int(ids[a]), int(ids[b])))
     return out
 
 
@@ -185,7 +193,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs: doc_id (unique), text.  A null text, or one without words, is linked with nothing.  Rows without doc_id are left out.
     """
     signed = stored(signatures(docs), "signatures")
-    own = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    own = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine"))
     classes = stored(own, "classes")
 
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,7 +231,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rest = placed.join(open_, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # each block meets itself and every other one once
     meets = "transform(sequence(0, blocks - 1), k -> struct(least(k, block) as i, greatest(k, block) as j))"
-    rest = rest.withColumn("m", F.explode(F.expr(meets))).select("bucket", "m.i", "m.j", "block", "id", "component").join(slim, "id")
+    rest = rest.withColumn("m", F.explode(F.expr(meets))).select("bucket", "m.i", "m.j", "block", "id", "component").join(classes.select("id", "n", "sketch", "fine"), "id")
 
     def across(key, block: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_across(key, block, percent), columns=["a", "b"], dtype=np.int64)
