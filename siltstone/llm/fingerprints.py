@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bare, mix, partitions, stored
+from siltstone.llm.common import bare, mix, partitions, stored, utf8
 
 #: Bytes of a chunk: least, wanted, most.
 LEAST, WANTED, MOST = 8, 24, 96
@@ -73,9 +73,9 @@ def chunks(text: bytes) -> dict[int, int]:
     return out
 
 
-def render(parts: dict[int, int]) -> str:
-    """Ascending digests, each eight hex digits and then two for its bytes.  Empty for an empty text."""
-    return "".join([f"{d:08x}{n:02x}" for d, n in sorted(parts.items())])
+def render(parts: dict[int, int]) -> bytes:
+    """Ascending digests, each four bytes and then one for its length; shown as hex digits.  Empty for an empty text."""
+    return b"".join([(d << 8 | n).to_bytes(5, "big") for d, n in sorted(parts.items())])
 
 
 def likeness(a: dict[int, int], b: dict[int, int]) -> float:
@@ -100,7 +100,7 @@ def _row(doc: int, text: str, own: dict[int, int], following: str, other: dict[i
     return doc, len(text), hashlib.sha256(raw).hexdigest(), render(own), render(parts), likeness(own, parts), likeness(own, other)
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _COLUMNS = [c.split()[0] for c in _OUT.split(", ")]
 _STEP = _OUT + ", part int, edge string, edge_id long, edge_text string"
 
@@ -113,6 +113,15 @@ def _finish(first_id: int, first_text: str, own_id: int, own_text: str) -> tuple
     return _row(own_id, own_text, _chunks_of(own_text), first_text, _chunks_of(first_text))
 
 
+def _packed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Texts for the shuffle, each compressed."""
+    import zstandard
+
+    for batch in texts:
+        squeeze = zstandard.ZstdCompressor(level=6, write_content_size=True)
+        yield pd.Series([squeeze.compress(t) for t in utf8(batch)], dtype=object)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of all texts and of their edits by the next document in ascending doc_id.
 
@@ -121,6 +130,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
         from pyspark import TaskContext
 
         part, held, rows = TaskContext.get().partitionId(), None, []
@@ -131,9 +141,10 @@ def with_next(docs: DataFrame) -> DataFrame:
         def table():
             return pd.DataFrame(rows, columns=[*_COLUMNS, "part", "edge", "edge_id", "edge_text"]).astype({"doc_id": "Int64", "n_chars": "Int64", "edge_id": "Int64"})
 
+        loosen = zstandard.ZstdDecompressor()
         for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                text = text if isinstance(text, str) else ""
+            for doc, packed in zip(batch["doc_id"], batch["packed"], strict=True):
+                text = loosen.decompress(bytes(packed)).decode("utf-8", "surrogatepass")
                 parts = _chunks_of(text)
                 if held is None:
                     rows.append(edge("first", doc, text))
@@ -148,7 +159,8 @@ def with_next(docs: DataFrame) -> DataFrame:
         if rows:
             yield table()
 
-    ordered = bare(docs, "doc_id", "text").filter("doc_id is not null").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    packed = bare(docs, "doc_id", "text").filter("doc_id is not null").select("doc_id", F.pandas_udf(_packed, "binary")("text").alias("packed"))
+    ordered = packed.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
     step = stored(ordered.mapInPandas(walk, _STEP), "fingerprints")
     # the last document of each partition still waits for the first of the next one: one such pair for each partition
     firsts = step.filter("edge = 'first'").select("part", F.col("edge_id").alias("first_id"), F.col("edge_text").alias("first_text"))
@@ -162,7 +174,8 @@ def with_next(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([_finish(*r) for r in batch.itertuples(index=False)], columns=_COLUMNS)
 
-    return step.filter("edge is null").select(*_COLUMNS).unionByName(pairs.mapInPandas(close, _OUT))
+    out = step.filter("edge is null").select(*_COLUMNS).unionByName(pairs.mapInPandas(close, _OUT))
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def op9_fingerprints(spark, sf_dir: str) -> DataFrame:
