@@ -106,7 +106,7 @@ def t11_page_links(spark, d):
 # -- facts --------------------------------------------------------------------------------------------------------
 
 _FACTS_SQL = """
-lines AS (SELECT n.n_name AS company, year(o.o_orderdate) || ' Q' || quarter(o.o_orderdate) AS period, CAST(l.l_extendedprice AS DECIMAL(18,2)) AS price, CAST(l.l_extendedprice * l.l_discount AS DECIMAL(18,2)) AS cost
+lines AS (SELECT n.n_name AS company, year(o.o_orderdate) || ' Q' || quarter(o.o_orderdate) AS period, CAST(l.l_extendedprice AS DECIMAL(18,2)) AS price, CAST(l.l_extendedprice * l.l_discount AS DECIMAL(18,4)) AS cost
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey),
 facts AS (SELECT company, period, sum(price) AS revenue, sum(cost) AS cost FROM lines GROUP BY company, period)"""
 
@@ -117,7 +117,7 @@ def _facts(spark, d) -> DataFrame:
     rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     period = F.concat(F.year("o_orderdate").cast("string"), F.lit(" Q"), F.quarter("o_orderdate").cast("string"))
     money = lambda c: c.cast("decimal(18,2)")
-    return rows.select(F.col("n_name").alias("company"), period.alias("period"), money(F.col("l_extendedprice")).alias("price"), money(F.col("l_extendedprice") * F.col("l_discount")).alias("c")).groupBy("company", "period").agg(F.sum("price").alias("revenue"), F.sum("c").alias("cost"))
+    return rows.select(F.col("n_name").alias("company"), period.alias("period"), money(F.col("l_extendedprice")).alias("price"), (F.col("l_extendedprice") * F.col("l_discount")).cast("decimal(18,4)").alias("c")).groupBy("company", "period").agg(F.sum("price").alias("revenue"), F.sum("c").alias("cost"))
 
 
 @query(f"""WITH {_FACTS_SQL}, q AS (SELECT *, CAST(substr(period, 1, 4) AS INTEGER) * 4 + CAST(substr(period, 7, 1) AS INTEGER) AS i FROM facts)
