@@ -18,7 +18,7 @@ def words(seed: int, n: int) -> str:
 @pytest.fixture(scope="module")
 def docs(spark):
     base = words(1, 120)
-    near = base.replace(base.split()[60], "changed")
+    near = " ".join([*base.split()[:60], "changed", *base.split()[61:]])  # 111 of 121 shingles shared
     rows = [(1, base), (2, base), (3, near), (4, words(2, 80)), (5, None), (6, ""), (7, "one two"), (8, "one two"), (9, words(3, 3000)), (10, "É\n \t x")]
     return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
 
