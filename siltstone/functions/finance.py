@@ -17,7 +17,8 @@ def amount(value) -> Column:
 
 
 def ratio(a, b, scale: int = 1) -> Column:
-    return ((amount(a) / F.nullif(amount(b), F.lit(0).cast(OPERAND))).cast(RESULT) * F.lit(scale)).cast(RESULT)
+    # scaled before the division: a product with RESULT would keep eight places only
+    return (amount(a) * F.lit(scale) / F.nullif(amount(b), F.lit(0).cast(OPERAND))).cast(RESULT)
 
 
 def display(value: Column, places: int = 2) -> Column:
