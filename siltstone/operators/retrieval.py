@@ -7,6 +7,8 @@ and keeps the best of the batch, so only k rows for each query and task are shuf
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -20,6 +22,8 @@ K1, B = 1.5, 0.75
 RRF = 60
 #: Query vectors in one matrix that goes to all tasks (64 doubles each: 5 MB); more queries take several passes.
 QUERY_BLOCK = 10_000
+#: Scores that a task holds at a time; of a batch's rows with more queries, parts of the queries are taken in turn.
+SCORES = 1 << 21
 
 
 def top(rows: DataFrame, k: int | Column, *order: Column, by: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -60,13 +64,8 @@ def boolean_search(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return words.join(terms, "term").groupBy("query_id", "id").agg(F.count("*").alias("matched"))
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score, rank: exact cosine of query vectors (query_id, vector) and rows (id, vector), rounded to four places."""
-    matrix = [(r["query_id"], r["vector"]) for r in queries.select("query_id", "vector").limit(QUERY_BLOCK + 1).collect()]
-    if len(matrix) > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries: call dense() on blocks of them")
-    if not matrix:
-        return vectors.select(F.lit(None).cast("long").alias("query_id"), "id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank")).limit(0)
+def _dense_pass(matrix: list, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score: the best k rows of each batch of vectors for one block of queries, given as (query_id, vector)."""
     ids = np.array([q for q, _ in matrix])
     unit = np.array([v for _, v in matrix], float)
     unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-30)
@@ -76,12 +75,26 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             if len(batch):
                 rows = np.stack(batch["vector"].to_numpy()).astype(float)
                 rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-30)
-                s = np.round(unit @ rows.T, 4)
                 own = batch["id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "id": own[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+                step = max(1, SCORES // len(own))
+                for lo in range(0, len(ids), step):
+                    s = np.round(unit[lo : lo + step] @ rows.T, 4)
+                    order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
+                    yield pd.DataFrame({"query_id": np.repeat(ids[lo : lo + step], order.shape[1]), "id": own[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+
+    return vectors.select("id", "vector").mapInPandas(run, "query_id long, id long, score double")
+
 
-    return top(vectors.select("id", "vector").mapInPandas(run, "query_id long, id long, score double"), k, F.col("score").desc(), F.col("id"))
+def dense(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score, rank: exact cosine of query vectors (query_id, vector) and rows (id, vector), rounded to four places.
+
+    The vectors are read once for each QUERY_BLOCK queries.
+    """
+    asked = ((r["query_id"], r["vector"]) for r in queries.select("query_id", "vector").toLocalIterator())
+    passes = [_dense_pass(block, vectors, k) for block in iter(lambda: list(islice(asked, QUERY_BLOCK)), [])]
+    if not passes:
+        return vectors.select(F.lit(None).cast("long").alias("query_id"), "id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank")).limit(0)
+    return top(reduce(DataFrame.unionByName, passes), k, F.col("score").desc(), F.col("id"))
 
 
 def hybrid_dense(text_hits: DataFrame, table_hits: DataFrame, k: int) -> DataFrame:

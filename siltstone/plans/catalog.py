@@ -184,9 +184,11 @@ def r1_bm25(spark, d):
     return rows.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
 
 
-def _dense(spark, d, k: int) -> DataFrame:
+def _dense(spark, d, k: int, query_id: str = "vec_id") -> DataFrame:
+    """Every vector whose id is divisible by 100 asks all vectors."""
     v = table(spark, d, "embeddings")
-    return retrieval.dense(v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), k)
+    asked = v.filter("vec_id % 100 = 0").select(F.expr(query_id).alias("query_id"), F.col("embedding").alias("vector"))
+    return retrieval.dense(asked, v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), k)
 
 
 @query()
@@ -196,8 +198,9 @@ def r3_dense_topk(spark, d):
 
 @query()
 def r6_fusion(spark, d):
-    dense = _dense(spark, d, 20)
-    q = table(spark, d, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    """The query vectors, numbered from 0, go with the benchmark texts of these ids; what has no partner is ranked by its own side alone."""
+    dense = _dense(spark, d, 20, "vec_id div 100")
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     lexical = retrieval.bm25(q, table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), 20)
     routes = q.select("query_id", scalars.route("query").alias("route"))
     kinds = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") < 5, "text").otherwise("table").alias("chunk_type"))

@@ -2,11 +2,13 @@
 
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import finance, scalars
 from siltstone.operators import chunks, evaluation, evidence, graph, merge, retrieval
+from siltstone.plans import catalog
 from siltstone.streaming import jobs
 
 
@@ -99,6 +101,27 @@ def test_ranking(spark):
     assert top[0].id == 8 and top[0].score > 0
 
 
+def test_dense_takes_queries_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    v = np.random.default_rng(0).normal(size=(40, 8))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in retrieval.dense(rows.filter("id < 7").withColumnRenamed("id", "query_id"), rows, 5).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(unit[:7] @ unit.T, 4)
+    best = np.lexsort((np.broadcast_to(np.arange(40), s.shape), -s), axis=1)[:, :5]
+    assert got == {(q, k + 1): (i, s[q, i]) for q in range(7) for k, i in enumerate(best[q].tolist())}
+
+
+def test_registered_searches_ask_all_their_queries(spark, tmp_path):
+    v = np.random.default_rng(1).normal(size=(2201, 4))
+    spark.createDataFrame([(i, x.tolist(), i % 10) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, f"term{i}") for i in range(30)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, f"term{i}") for i in range(30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.query_id for r in catalog.r3_dense_topk(spark, str(tmp_path)).collect()} == set(range(0, 2201, 100))
+    fused = {(r.query_id, r.id) for r in catalog.r6_fusion(spark, str(tmp_path)).collect()}
+    assert {(i, i) for i in range(30)} <= fused and all((q, 100 * q) in fused for q in range(23))
+
+
 def test_chunks(spark):
     text = "One sentence here. " * 60
     parts = chunks.pack(text)
