@@ -1,10 +1,13 @@
 """Line deduplication by pairwise alignment.
 
-A later document overlaps an earlier one where both hold a telling line (LEAST_WORDS words at least).  Each such line is led
-back to the first document that holds it, so a line that thousands of documents share makes one pair for each of them,
-never pairs among them, and no line is too frequent to count.  The pairs are aligned with patience diff over line
-hashes: anchors are lines that stand once in both, rare ones of the corpus first, their longest ordered chain is kept and
-grown by equal neighbours, and what crosses it is aligned in a further pass.  The aligned blocks go from the later document.
+A later document overlaps an earlier one where both hold a telling window: the fewest consecutive lines that have LEAST_WORDS
+words together, counted on from a line or back from it, so that every block of so many words consists of windows.  The nth
+occurrence of a window in a document is led back to the first document that holds it n times at least.  So a line that
+thousands of documents share makes one pair for each of them and each further occurrence, never pairs among them, no line is
+too frequent to count, and what some earlier document holds as often is found in a pair.  The pairs are aligned with patience
+diff over line hashes: anchors are windows that stand once in both, else the first ones left of those that stand more often;
+their longest ordered chain is kept and grown by equal neighbours, and what crosses it is aligned in a further pass.  The
+aligned blocks go from the later document.
 """
 
 from __future__ import annotations
@@ -17,17 +20,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bare, stored
+from siltstone.llm.common import bare, mix, stored
 
-#: Words of a line that can lead to an earlier document, and of a block that may be deleted.
+#: Words of a window that can lead to an earlier document, and so of a block that may be deleted.
 LEAST_WORDS = 5
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def _lines(text: str = "text"):
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
 
-#: A line's key: its words, whatever white space stands between them; null for lines below LEAST_WORDS words.
+#: A line's key: its words, whatever white space stands between them.
 _KEY = r"transform(lines, l -> trim(regexp_replace(l, '[ \\t\\r\\x0b\\f]+', ' ')))"
 
 
@@ -51,55 +56,95 @@ def chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def aligned(earlier: np.ndarray, later: np.ndarray, words: np.ndarray, least_words: int = LEAST_WORDS) -> np.ndarray:
+def windows(words: np.ndarray, ends: np.ndarray, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """First and last lines of the windows of documents whose lines stand one after another, up to ends; sorted, each once."""
+    total = np.cumsum(words)
+    before = total - words
+    filled = np.flatnonzero(words > 0)
+    if not len(filled):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    document = np.searchsorted(ends, filled, "right")
+    last = np.searchsorted(total, before[filled] + least_words, "left")
+    first = np.searchsorted(before, total[filled] - least_words, "right") - 1
+    on, back = last < ends[document], first >= np.concatenate(([0], ends))[document]
+    both = np.unique(np.stack((np.concatenate((filled[on], first[back])), np.concatenate((last[on], filled[back])))), axis=1)
+    return both[0], both[1]
+
+
+def aligned(earlier: np.ndarray, later: np.ndarray, earlier_words: np.ndarray, words: np.ndarray, least_words: int = LEAST_WORDS) -> np.ndarray:
     """Which lines of the later document stand in blocks that are aligned with the earlier one.
 
-    words: words of the later document's lines.  A block is deleted if it has least_words words at least.
+    earlier_words, words: words of the lines.  A block is deleted if it has least_words words at least.
     """
-    earlier, later = earlier.tolist(), later.tolist()
-    free_e, free_l = [True] * len(earlier), [True] * len(later)
+
+    def spans(lines: np.ndarray, n: np.ndarray) -> list[tuple[bytes, int, int]]:
+        return [(lines[i : j + 1].tobytes(), i, j + 1) for i, j in zip(*(x.tolist() for x in windows(n, np.array([len(n)]), least_words)), strict=True)]
+
+    def places(held: list[tuple[bytes, int, int]], free: bytearray) -> dict[bytes, list[int]]:
+        out: dict[bytes, list[int]] = {}
+        for h, i, j in held:
+            if 0 not in free[i:j]:
+                out.setdefault(h, []).append(i)
+        return out
+
     gone = np.zeros(len(later), bool)
+    held_e, held_l = spans(earlier, earlier_words), spans(later, words)
+    common = {h for h, _, _ in held_e} & {h for h, _, _ in held_l}
+    held_e, held_l = [x for x in held_e if x[0] in common], [x for x in held_l if x[0] in common]
+    size = {h: j - i for h, i, j in held_l}
+    earlier, later = earlier.tolist(), later.tolist()
+    free_e, free_l = bytearray(b"\1" * len(earlier)), bytearray(b"\1" * len(later))
     while True:
-        where: dict[int, int] = {}
-        for i, h in enumerate(earlier):
-            if free_e[i]:
-                where[h] = -1 if h in where else i
-        once: dict[int, int] = {}
-        for j, h in enumerate(later):
-            if free_l[j]:
-                once[h] = -1 if h in once else j
-        anchors = sorted((j, where[h]) for h, j in once.items() if j >= 0 and where.get(h, -1) >= 0 and words[j] >= least_words)
-        if not anchors:  # lines that stand several times: pair their first free places
-            first: dict[int, int] = {}
-            for i in range(len(earlier) - 1, -1, -1):
-                if free_e[i]:
-                    first[earlier[i]] = i
-            seen: set[int] = set()
-            for j, h in enumerate(later):
-                if free_l[j] and h in first and h not in seen and words[j] >= least_words:
-                    anchors.append((j, first[h]))
-                    seen.add(h)
-        if not anchors:
+        where, at = places(held_e, free_e), places(held_l, free_l)
+        both = [h for h in at if h in where]
+        # windows that stand several times wait until no other is left: then their first free places are paired
+        chosen = [h for h in both if len(where[h]) == len(at[h]) == 1] or both
+        if not chosen:
             return gone
-        for j, i in chain(anchors):
-            if not (free_l[j] and free_e[i]):
+        anchors = sorted((at[h][0], where[h][0], size[h]) for h in chosen)
+        length = {(j, i): n for j, i, n in anchors}
+        for j, i in chain([(j, i) for j, i, _ in anchors]):
+            n = length[j, i]
+            if 0 in free_l[j : j + n] or 0 in free_e[i : i + n]:
                 continue
-            lo = hi = 0
+            lo, hi = 0, n - 1
             while j - lo - 1 >= 0 and i - lo - 1 >= 0 and free_l[j - lo - 1] and free_e[i - lo - 1] and later[j - lo - 1] == earlier[i - lo - 1]:
                 lo += 1
             while j + hi + 1 < len(later) and i + hi + 1 < len(earlier) and free_l[j + hi + 1] and free_e[i + hi + 1] and later[j + hi + 1] == earlier[i + hi + 1]:
                 hi += 1
             for d in range(-lo, hi + 1):
-                free_l[j + d] = free_e[i + d] = False
+                free_l[j + d] = free_e[i + d] = 0
             gone[j - lo : j + hi + 1] = True
 
 
+def _telling(batch: pd.DataFrame, least_words: int) -> pd.DataFrame:
+    """doc_id, line: a key for each window and its nth occurrence in the document."""
+    sizes = batch["words"].str.len().to_numpy(np.int64)
+    ends = np.cumsum(sizes)
+    first, last = windows(np.concatenate(batch["words"].to_numpy()).astype(np.int64), ends, least_words)
+    hashes = np.concatenate(batch["hashes"].to_numpy()).astype(np.int64).view(np.uint64)
+    up, down = (np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(hashes), x, np.uint64)))) for x in (_BASE, _INVERSE))
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(hashes * up[:-1], dtype=np.uint64)))
+    keys, owner = mix((sums[last + 1] - sums[first]) * down[first]), np.searchsorted(ends, first, "right")
+    order = np.lexsort((first, keys, owner))
+    keys, owner = keys[order], owner[order]
+    fresh = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])))) if len(keys) else np.empty(0, np.int64)
+    nth = np.arange(len(keys)) - np.repeat(fresh, np.diff(np.concatenate((fresh, [len(keys)]))))
+    return pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[owner], "line": mix(keys + nth.astype(np.uint64) * _BASE).view(np.int64)})
+
+
 def overlaps(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, hashes, words per line), and the pairs (later, earlier) of documents that share a telling line."""
+    """(doc_id, hashes, words per line), and the pairs (later, earlier) of documents that share a telling window."""
     lines = bare(docs, "doc_id", "text").filter("doc_id is not null").select("doc_id", _lines().alias("lines")).select("doc_id", F.expr(_KEY).alias("keys"))
     lines = lines.select("doc_id", F.expr("transform(keys, k -> xxhash64(k))").alias("hashes"), F.expr("transform(keys, k -> if(k = '', 0, size(split(k, ' '))))").alias("words"))
     lines = stored(lines, "lines")
-    telling = lines.select("doc_id", F.explode(F.expr(f"array_distinct(transform(filter(arrays_zip(hashes, words), x -> x.words >= {least_words}), x -> x.hashes))")).alias("line"))
+
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield _telling(batch, least_words)
+
+    telling = stored(lines.mapInPandas(tell, "doc_id long, line long"), "telling")
     first = telling.groupBy("line").agg(F.min("doc_id").alias("earlier"), F.count("*").alias("n")).filter("n > 1").select("line", "earlier")
     # stored, so that a frequent line's rows can be split in the join
     pairs = telling.join(stored(first, "first-lines"), "line").filter("doc_id <> earlier").select(F.col("doc_id").alias("later"), "earlier").distinct()
@@ -109,16 +154,16 @@ def overlaps(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFrame
 def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """later, gone: the places (from 0) of lines to delete, for each document that repeats earlier ones."""
     lines, pairs = overlaps(docs, least_words)
-    early = lines.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("early"))
+    early = lines.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("early"), F.col("words").alias("early_words"))
     late = lines.select(F.col("doc_id").alias("later"), "hashes", "words")
-    both = pairs.join(early, "earlier").join(late, "later")
+    both = pairs.join(early, "earlier").join(late, "later").select("later", "early", "early_words", "hashes", "words")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, np.flatnonzero(aligned(np.asarray(e), np.asarray(h), np.asarray(w), least_words)).tolist()) for d, e, h, w in zip(batch["later"], batch["early"], batch["hashes"], batch["words"], strict=True)]
+            rows = [(d, np.flatnonzero(aligned(np.asarray(e), np.asarray(h), np.asarray(v), np.asarray(w), least_words)).tolist()) for d, e, v, h, w in zip(*(batch[c] for c in batch.columns), strict=True)]
             yield pd.DataFrame(rows, columns=["later", "gone"])
 
-    found = both.select("later", "early", "hashes", "words").mapInPandas(align, "later long, gone array<int>")
+    found = both.mapInPandas(align, "later long, gone array<int>")
     # a document's lines are few against the corpus: the set of places is bounded by the document itself
     return found.select("later", F.explode("gone").alias("at")).groupBy("later").agg(F.collect_set("at").alias("gone"))
 

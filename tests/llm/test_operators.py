@@ -131,6 +131,15 @@ def test_line_dedup(spark):
     assert passage in got[1] and got[2] == words(2, 9) and got[3] == words(3, 9) and got[4] is None
 
 
+def test_line_dedup_finds_what_any_earlier_document_holds(spark):
+    line, short = words(5, 8), "ab cd\nef\n\ngh ij"
+    texts = [f"{line}\nx", f"{line}\n{words(1, 9)}\n{line}", f"{line}\n{words(2, 9)}\n{line}\ny", f"{short}\nz", f"q\n{short}", f"ab cd\n{words(3, 9)}", f"{words(3, 9)}\n{short}\nq", "u v\ngh ij"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(d).collect()}
+    assert got[1].count(line) == 1 and got[2] == f"{words(2, 9)}\ny"
+    assert (got[0], got[3], got[4], got[5], got[6], got[7]) == (texts[0], texts[3], "q", texts[5], "q", texts[7])
+
+
 def test_decontamination(spark):
     item = words(6, 20)
     d = spark.createDataFrame([(1, f"{words(1, 500)} {item} {words(2, 500)}"), (2, words(3, 500)), (3, " ".join(item.split()[:18])), (4, " ".join(item.split()[:8])), (5, None)], "doc_id long, text string")
