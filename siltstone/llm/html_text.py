@@ -1,17 +1,18 @@
 """Main text of raw pages, from their structure and from a suffix array over each host's page streams.
 
 A page is cut into blocks.  Elements that name their purpose (menus, adverts, forms, ...) go; blocks of an article or main
-element stay.  The streams of all other blocks are laid out host by host in suffix arrays: runs of tokens that come back on
-distinct pages of a host are its boilerplate.  They are removed from blocks of pages that have no article or main element,
-of which only the unique runs stay.
+element stay.  The streams of all other blocks are laid out host by host in suffix arrays: runs of tokens that a SHARE of the
+distinct pages of a host hold, LEAST_PAGES at least, are its boilerplate.  They are removed from blocks of pages that have no
+article or main element, of which only the other runs stay.  Pages of a host with equal text count once.
 
-A host may hold most pages, so the pages are dealt by their id into suffix arrays of bounded size; each gives the pages of
-every token window it holds once, and sums over all of them tell which windows a host repeats.  That equals one array per
-host: a run of at least RUN tokens is repeated exactly if each of its windows of RUN tokens is.
+A host may hold most pages, so the distinct pages are dealt by their text into suffix arrays of bounded size; each gives the
+pages of every token window it holds once, and sums over all of them tell which windows a host repeats.  That equals one array
+per host: a run of at least RUN tokens is covered exactly by its windows of RUN tokens.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import bare, mix, span_hashes, stored, word_bounds
 
 #: Tokens of the shortest run that counts as repeated.
-RUN = 6
+RUN = 8
+#: Share of a host's distinct pages that hold a repeated run, and such pages at least.
+SHARE, LEAST_PAGES = 0.5, 3
 #: Pages in one suffix array.
 ARRAY_PAGES = 4000
 
@@ -159,13 +162,12 @@ def _stream(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     """
     texts, owners, numbers, salts = [], [], [], []
     for i, (host, parts, lines) in enumerate(zip(batch["host"], batch["parts"], batch["lines"], strict=True)):
-        salt = int.from_bytes(host.encode()[-8:].rjust(8, b"\0"), "big") ^ (len(host) << 40)
         for k, (part, line) in enumerate(zip(parts, lines, strict=True)):
             if part != KEPT:
                 texts.append(line.encode("utf-8", "surrogatepass"))
                 owners.append(i)
                 numbers.append(k)
-                salts.append(salt)
+                salts.append(host)
     if not texts:
         empty = np.empty(0, np.int64)
         return np.empty(0, np.uint64), empty, empty, np.empty(0, np.uint64)
@@ -174,39 +176,39 @@ def _stream(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     limits = np.cumsum([len(t) + 1 for t in texts])
     at = np.searchsorted(limits, starts, "right")
     page, number = np.array(owners)[at], np.array(numbers)[at]
-    tokens = span_hashes(data, starts, ends)
+    tokens = mix(span_hashes(data, starts, ends) ^ mix(np.array(salts, np.int64).view(np.uint64))[at])
     windows = np.zeros(len(tokens), np.uint64)
     count = max(0, len(tokens) - RUN + 1)
     for j in range(RUN):
         windows[:count] += tokens[j : j + count] * mix(np.array([j + 1], np.uint64))[0]
     whole = np.zeros(len(tokens), bool)
     whole[:count] = page[:count] == page[RUN - 1 :][:count]
-    windows = mix(windows ^ mix(np.array(salts, np.uint64)[at]))
+    windows = mix(windows)
     windows[~whole] = 0
     return tokens, page, number, windows
 
 
 def _count_windows(batch: pd.DataFrame) -> pd.DataFrame:
-    """Distinct windows of a suffix array with the number of pages that hold them."""
+    """Distinct windows of a suffix array with their host and the number of pages that hold them; without a window, the pages of each host."""
     tokens, page, _, windows = _stream(batch)
-    empty = pd.DataFrame({"window": np.empty(0, np.int64), "pages": np.empty(0, np.int64)})
-    if not len(tokens):
-        return empty
-    # suffixes with a common beginning of RUN tokens stand together; the host and the page end part them further
-    order = suffix_order(tokens, RUN)
+    hosts = batch["host"].to_numpy(np.int64)
+    own, n = np.unique(hosts, return_counts=True)
+    out = pd.DataFrame({"host": own, "window": pd.array([None] * len(own), "Int64"), "pages": n.astype(np.int64)})
+    # suffixes with a common beginning of RUN tokens (the host is part of a token) stand together, in the order of their pages
+    order = suffix_order(tokens, RUN) if len(tokens) else np.empty(0, np.int64)
     order = order[windows[order] != 0]
     if not len(order):
-        return empty
-    host_order = order[np.argsort(windows[order], kind="stable")]  # stable: pages stay ascending within a window
-    keys, pages = windows[host_order], page[host_order]
+        return out
+    keys, pages = windows[order], page[order]
     new_key = np.concatenate(([True], keys[1:] != keys[:-1]))
     new_page = new_key | np.concatenate(([True], pages[1:] != pages[:-1]))
     group = np.cumsum(new_key) - 1
-    return pd.DataFrame({"window": keys[new_key].view(np.int64), "pages": np.bincount(group, new_page).astype(np.int64)})
+    found = pd.DataFrame({"host": hosts[pages[new_key]], "window": pd.array(keys[new_key].view(np.int64), "Int64"), "pages": np.bincount(group, new_page).astype(np.int64)})
+    return pd.concat((out, found), ignore_index=True)
 
 
 def _finish(batch: pd.DataFrame, repeated: pd.DataFrame) -> pd.DataFrame:
-    """Text of each page: kept blocks, and the unique runs of open ones."""
+    """Text of each page: kept blocks, and of open ones what the host doesn't repeat."""
     tokens, page, number, windows = _stream(batch)
     known = np.sort(repeated["window"].to_numpy(np.int64).view(np.uint64))
     covered = np.zeros(len(tokens), bool)
@@ -232,7 +234,7 @@ def _finish(batch: pd.DataFrame, repeated: pd.DataFrame) -> pd.DataFrame:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """Per page: page_id, url, text, n_chars, n_repeated (tokens in runs that other pages of its host have).
+    """Per page: page_id, url, text, n_chars, n_repeated (tokens in runs that its host repeats).
 
     pages: page_id, url, html.  A null or empty html gives an empty text; a null url is a host of its own.
     Repeated rows are pages of their own, an empty table gives an empty result.
@@ -241,20 +243,24 @@ def main_text(pages: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             cut = [blocks(h) if isinstance(h, str) else [] for h in batch["html"]]
-            hosts = [re.sub(r"^\w+://|[/?#].*$", "", u, flags=re.S).lower() if isinstance(u, str) else "" for u in batch["url"]]
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "host": hosts, "parts": [[p for p, _ in c] for c in cut], "lines": [[t for _, t in c] for c in cut]})
+            streams = [int.from_bytes(hashlib.blake2b("\0".join([str(h), *(t for _, t in c)]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for h, c in zip(batch["host"], cut, strict=True)]
+            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "host": batch["host"], "array": batch["array"], "stream": streams, "parts": [[p for p, _ in c] for c in cut], "lines": [[t for _, t in c] for c in cut]})
 
     spark = pages.sparkSession
     n = pages.count()
     arrays = max(1, -(-n // ARRAY_PAGES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parsed = bare(pages, "page_id", "url", "html").mapInPandas(parse, "page_id long, url string, host string, parts array<int>, lines array<string>")
+    host = F.xxhash64(F.lower(F.regexp_replace(F.coalesce("url", F.lit("")), r"(?s)^\w+://|[/?#].*$", "")))
+    dealt = bare(pages, "page_id", "url", "html").withColumns({"host": host, "array": F.pmod(F.xxhash64("page_id", "url"), F.lit(arrays)).cast("int")})
     # parsed twice, which costs less than keeping all texts as a table
-    parsed = parsed.withColumn("array", F.pmod(F.xxhash64("page_id", "url"), F.lit(arrays)).cast("int"))
-    outside = parsed.withColumn("kept", F.expr("filter(arrays_zip(parts, lines), x -> x.parts != 0)")).select("array", "host", F.col("kept.parts").alias("parts"), F.col("kept.lines").alias("lines"))
-    windows = stored(outside.groupBy("array").applyInPandas(lambda key, b: _count_windows(b).assign(array=key[0]), "window long, pages long, array int"), "windows")
-    repeated = windows.groupBy("window").agg(F.sum("pages").alias("n")).filter("n > 1").select("window")
-    # back to the arrays that hold the window
-    told = windows.join(repeated, "window").select("array", "window")
+    parsed = dealt.mapInPandas(parse, "page_id long, url string, host long, array int, stream long, parts array<int>, lines array<string>")
+    outside = parsed.filter("size(lines) > 0").withColumn("kept", F.expr("filter(arrays_zip(parts, lines), x -> x.parts != 0)")).select("stream", "host", F.col("kept.parts").alias("parts"), F.col("kept.lines").alias("lines"))
+    distinct = outside.groupBy("stream").agg(*[F.first(c).alias(c) for c in ("host", "parts", "lines")])
+    counts = stored(distinct.groupBy(F.pmod("stream", F.lit(arrays))).applyInPandas(_count_windows, "host long, window long, pages long"), "windows")
+    totals = counts.filter("window is null").groupBy("host").agg(F.sum("pages").alias("all"))
+    repeated = counts.filter("window is not null").groupBy("host", "window").agg(F.sum("pages").alias("n")).filter(F.col("n") >= LEAST_PAGES)
+    repeated = repeated.join(totals, "host").filter(F.col("n") >= SHARE * F.col("all")).select("host", "window")
+    # to the arrays that hold pages of the host
+    told = dealt.select("host", "array").distinct().join(repeated, "host").select("array", "window")
     final = "page_id long, url string, text string, n_chars long, n_repeated int"
     return parsed.groupBy("array").cogroup(told.groupBy("array")).applyInPandas(lambda a, b: _finish(a, b) if len(a) else pd.DataFrame({"page_id": [], "url": [], "text": [], "n_chars": [], "n_repeated": []}), final)
 

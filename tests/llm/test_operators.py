@@ -124,6 +124,16 @@ def test_html(spark):
     assert got[11] == words(1, 12)
 
 
+def test_html_drops_only_what_a_host_repeats(spark):
+    shared, notice = words(60, 30), words(61, 10)
+    rows = [(i, f"http://ads-track{i}.example.org/", f"<div>{words(i, 12)}</div><div>{shared}</div>") for i in range(4)]  # one text on several hosts
+    rows += [(10 + i, f"http://k/{i}", f"<div>{shared}</div>") for i in range(4)]  # one page at several addresses
+    rows += [(20 + i, f"http://m/{i}", f"<div>{words(20 + i, 12)}</div><div>{shared if i < 3 else notice}</div>") for i in range(8)]  # quoted by three of eight pages
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{words(i, 12)}\n\n{shared}" for i in range(4)) and all(got[10 + i] == shared for i in range(4))
+    assert all(got[20 + i] == (f"{words(20 + i, 12)}\n\n{shared}" if i < 3 else words(20 + i, 12)) for i in range(8))
+
+
 def test_line_dedup(spark):
     passage = words(5, 60)
     d = spark.createDataFrame([(1, f"{words(1, 9)}\n{passage}\nend"), (2, f"{passage}\n{words(2, 9)}"), (3, words(3, 9)), (4, None)], "doc_id long, text string")
