@@ -39,13 +39,21 @@ def _limit_rows(key: str, rows: pd.DataFrame, kept: list[float], limit: int, win
 def limit_batch(events: DataFrame, limit: int, window: float) -> DataFrame:
     """Sliding-window limiter over a table (key, seq, ts in seconds): refused events leave no trace, so it isn't a window function.
 
-    A key's events must be taken in turn; the state is at most `limit` stamps.
+    A key's events must be taken in turn, as Spark's sort within a partition deals them out in batches; the state is the key
+    and at most `limit` stamps.
     """
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return _limit_rows(key[0], rows, [], limit, window)[0]
-
-    return events.select("key", "seq", "ts").groupBy("key").applyInPandas(run, LIMITER)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, kept = None, []
+        for batch in batches:
+            for key, rows in batch.groupby("key", sort=False, dropna=False):
+                key = None if pd.isna(key) else key
+                out, kept = _limit_rows(key, rows, kept if key == last else [], limit, window)
+                last = key
+                yield out
+
+    rows = events.select(F.col("key").cast("string").alias("key"), "seq", "ts").repartition("key").sortWithinPartitions("key", "ts", "seq")
+    return rows.mapInPandas(run, LIMITER)
 
 
 def limit_stream(events: DataFrame, limit: int, window: float) -> DataFrame:

@@ -137,6 +137,24 @@ def test_limiter(spark):
     assert [r.allowed for r in jobs.limit_batch(rows, 2, 60.0).orderBy("seq").collect()] == [True, True, False, True]
 
 
+def test_limiter_carries_stamps_over_batches(spark):
+    rows = [(k, i, float((i * 7) % 40)) for k in ("a", "b", "c", None) for i in range(40)]
+    want = set()
+    for k in ("a", "b", "c", None):
+        kept: list[float] = []
+        for _, seq, ts in sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[1])):
+            kept, ok, wait = jobs._allow(kept, ts, 3, 10.0)
+            want.add((k, seq, ok, wait))
+    events = spark.createDataFrame(rows, "key string, seq long, ts double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = jobs.limit_batch(events, 3, 10.0)
+        assert {(r.key, r.seq, r.allowed, r.retry_after) for r in out.collect()} == want
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()  # no group is one table
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_graph(spark):
     terms = spark.createDataFrame([("EUV (光刻)", "Extreme / Soft", ["CoWoS", "Unknown"], ["ASML"], 0), ("CoWoS", None, ["EUV", "CoWoS"], ["asml"], 1)], "name string, english string, related array<string>, companies array<string>, pos int")
     firms = spark.createDataFrame([("ASML", "asml", 0)], "name string, alias string, pos int")
