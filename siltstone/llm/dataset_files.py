@@ -1,7 +1,7 @@
 """Token ids as grammar-compressed shard files: encode, write, read back.
 
 Each shard holds the ids of some thousand consecutive documents.  Re-Pair runs on the shard: frequent adjacent id
-pairs become nonterminals, again and again, until no pair is frequent.  A file row keeps the rules, the expansion
+pairs become nonterminals, again and again, until a round gains little.  A file row keeps the rules, the expansion
 length of every nonterminal and the reduced sequence, so any document can be decoded without the others.
 """
 
@@ -43,7 +43,8 @@ def compress(ids: np.ndarray, min_pair: int = MIN_PAIR) -> tuple[np.ndarray, np.
     """Re-Pair in rounds: (rules as rows of two symbols, reduced sequence).
 
     One round replaces all pairs that are frequent and don't compete: a symbol may be the left half of one kind
-    of chosen pairs or the right half of others, not both, so that no two chosen occurrences overlap.
+    of chosen pairs or the right half of others, not both, so that no two chosen occurrences overlap.  The rounds end
+    with one that shortens the sequence by less than LEAST_GAIN or replaces fewer than min_pair, though frequent pairs may be left.
     """
     seq = ids.astype(np.uint32)
     rules = np.empty((0, 2), np.uint32)
