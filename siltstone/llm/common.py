@@ -17,9 +17,11 @@ PASS_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  Only where the session names none (tests) an own one is set."""
+    """The folder that driver and executors share.  Only a local session (tests) that names none gets an own one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -33,16 +35,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Removes the files of a stored() table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -52,6 +44,18 @@ def bare(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns)
 
 
+def fresh_names(docs: DataFrame, *names: str) -> list[str]:
+    """Names for internal columns that docs doesn't have, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def is_held(column: str, modulus: int, remainder: int):
     """Whether crc32 of the id as text leaves this remainder."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder
@@ -107,11 +111,11 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def passes(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that together hold about PASS_BYTES."""
+def passes(texts: list[bytes], most: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that together hold about `most` bytes."""
     start = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > PASS_BYTES:
+        if size and size + len(t) > most:
             yield start, i
             start, size = i, 0
         size += len(t) + 1

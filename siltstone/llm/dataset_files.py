@@ -1,13 +1,15 @@
 """Token ids as grammar-compressed shard files: encode, write, read back.
 
 Each shard holds the ids of some thousand consecutive documents.  Re-Pair runs on the shard: frequent adjacent id
-pairs become nonterminals, again and again, until a round gains little.  A file row keeps the rules, the expansion
+pairs become nonterminals, again and again, until no pair is frequent.  A file row keeps the rules, the expansion
 length of every nonterminal and the reduced sequence, so any document can be decoded without the others.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,19 +20,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import bare, partitions, stored, utf8
+from siltstone.llm.common import bare, partitions, passes, stored, utf8
 
 END_ID = 2
 #: Ids of a shard (a longer document makes a longer shard).
 SHARD_TOKENS = 1 << 18
-#: A pair is replaced while it occurs so often in the shard.
-MIN_PAIR = 8
-#: The rounds end when one shortens the sequence by less than this share.
-LEAST_GAIN = 0.02
+#: A pair is frequent, and replaced, while it occurs so often in the shard (a rule and its length take the bytes of four symbols).
+MIN_PAIR = 16
 #: First nonterminal; every id of a vocabulary is below it.
 FIRST_RULE = 1 << 17
-#: Words whose ids a worker remembers before it starts anew; this bounds memory only.
-CACHE_WORDS = 1_000_000
+#: Words (and pieces) whose ids a worker remembers, about 200 bytes each; this bounds memory only.
+CACHE_WORDS, CACHE_PIECES = 500_000, 600_000
+#: Shards up to which their begins (some 30 bytes each) are broadcast to the readers; beyond it the payloads are shuffled to them.
+BROADCAST_SHARDS = 500_000
+#: Bytes of text that are encoded at a time.
+STEP_BYTES = 16 << 20
 _MAGIC = b"RPGS1\0\0\0"
 
 FILE_SCHEMA = "part int, seq int, first_doc long, n_docs int, n_tokens long, payload binary"
@@ -39,86 +43,93 @@ FILE_SCHEMA = "part int, seq int, first_doc long, n_docs int, n_tokens long, pay
 # -- grammar ------------------------------------------------------------------------------------------------------
 
 
-def compress(ids: np.ndarray, min_pair: int = MIN_PAIR) -> tuple[np.ndarray, np.ndarray]:
-    """Re-Pair in rounds: (rules as rows of two symbols, reduced sequence).
+def _sorted_pairs(left: np.ndarray, right: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (left << 32 | right) in ascending order with their places, of equal pairs in the order of place."""
+    symbol, place = int(max(left.max(), right.max())).bit_length(), int(places.max()).bit_length()
+    if 2 * symbol + place > 64:
+        pairs = left.astype(np.uint64) << np.uint64(32) | right
+        order = np.lexsort((places, pairs))
+        return pairs[order], places[order]
+    # pair and place in one number, which sorts several times faster
+    keys = np.sort((left.astype(np.uint64) << np.uint64(symbol) | right) << np.uint64(place) | places.astype(np.uint64))
+    pairs = keys >> np.uint64(place)
+    return pairs >> np.uint64(symbol) << np.uint64(32) | (pairs & np.uint64((1 << symbol) - 1)), (keys & np.uint64((1 << place) - 1)).astype(np.int64)
 
-    One round replaces all pairs that are frequent and don't compete: a symbol may be the left half of one kind
-    of chosen pairs or the right half of others, not both, so that no two chosen occurrences overlap.  The rounds end
-    with one that shortens the sequence by less than LEAST_GAIN or replaces fewer than min_pair, though frequent pairs may be left.
+
+def compress(ids: np.ndarray, min_pair: int = MIN_PAIR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair in rounds: (rules as rows of two symbols, ids to which each rule expands, reduced sequence).
+
+    A round counts the pairs and replaces all frequent ones that don't compete: a symbol may be the left half of chosen
+    pairs or the right half, not both, so that no two chosen occurrences overlap.  The rounds end when no pair occurs
+    min_pair times any more.  A pair of old symbols never gains occurrences, so a place whose pair was rare once is looked at
+    again only after one of its symbols was replaced.
     """
-    seq = ids.astype(np.uint32)
-    rules = np.empty((0, 2), np.uint32)
-    while len(seq) > 1:
-        pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        order = np.sort(pairs)
-        edge = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1], [True])))
+    n = len(ids)
+    seq = np.append(ids, 0).astype(np.uint32)
+    # neighbours of the symbols that are left; place n is behind the end
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    gone = np.zeros(n + 1, bool)
+    places = np.arange(n - 1)
+    rules, spans = np.empty((0, 2), np.uint32), np.empty(0, np.int64)
+    while len(places) >= min_pair:
+        pairs, places = _sorted_pairs(seq[places], seq[after[places]], places)
+        edge = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1], [True])))
         counts = np.diff(edge)
         frequent = counts >= min_pair
-        kinds, counts = order[edge[:-1]][frequent], counts[frequent]
+        kinds = pairs[edge[:-1]][frequent]
+        places = places[np.repeat(frequent, counts)]
+        counts = counts[frequent]
         if not len(kinds):
             break
+        slot = np.repeat(np.arange(len(kinds)), counts)
         left, right = (kinds >> np.uint64(32)).astype(np.uint32), kinds.astype(np.uint32)
         # a symbol takes the side on which its frequent pairs weigh more
-        symbols, at = np.unique(np.concatenate((left, right)), return_inverse=True)
-        weight = np.bincount(at[: len(left)], counts, len(symbols)) - np.bincount(at[len(left) :], counts, len(symbols))
-        opens = weight >= 0
-        chosen = opens[at[: len(left)]] & ~opens[at[len(left) :]]
+        symbols, side = np.unique(np.concatenate((left, right)), return_inverse=True)
+        opens = np.bincount(side[: len(left)], counts, len(symbols)) >= np.bincount(side[len(left) :], counts, len(symbols))
+        chosen = opens[side[: len(left)]] & ~opens[side[len(left) :]]
         if not chosen.any():  # all sides agree, as for runs of one symbol: take the most frequent pair alone
-            chosen = np.zeros(len(kinds), bool)
             chosen[np.argmax(counts)] = True
-        kinds = kinds[chosen]
-        # only where both halves occur in chosen pairs is the pair itself looked up
-        size = FIRST_RULE + len(rules)
-        starts, stops = np.zeros(size, bool), np.zeros(size, bool)
-        starts[left[chosen]], stops[right[chosen]] = True, True
-        at = np.flatnonzero(starts[seq[:-1]] & stops[seq[1:]])
-        slot = np.searchsorted(kinds, pairs[at])
-        slot[slot == len(kinds)] = 0
-        hit = kinds[slot] == pairs[at]
-        at, slot = at[hit], slot[hit]
+        hit = chosen[slot]
+        at, slot = places[hit], slot[hit]
         if left[chosen][0] == right[chosen][0]:  # a pair of one symbol overlaps itself: every second start of a run
-            run = np.concatenate(([0], np.cumsum(np.diff(at) > 1)))
-            nth = np.arange(len(at)) - np.searchsorted(run, run)
-            at, slot = at[nth % 2 == 0], slot[nth % 2 == 0]
-        if len(at) < min_pair:
-            break
-        before = len(seq)
-        fresh = (FIRST_RULE + len(rules) + slot).astype(np.uint32)
-        rules = np.concatenate((rules, np.column_stack((kinds >> np.uint64(32), kinds & np.uint64(0xFFFFFFFF))).astype(np.uint32)))
-        seq[at] = fresh
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = seq[keep]
-        if before - len(seq) < LEAST_GAIN * before:
-            break
-    return rules, seq
-
-
-def lengths(rules: np.ndarray) -> np.ndarray:
-    """Ids to which each rule expands; a rule uses earlier ones only."""
-    out = np.ones(len(rules), np.int64)
-    sides = rules.astype(np.int64) - FIRST_RULE
-    level = np.zeros(len(rules), np.int64)
-    for k in range(len(rules)):
-        a, b = sides[k]
-        out[k] = (out[a] if a >= 0 else 1) + (out[b] if b >= 0 else 1)
-        level[k] = 1 + max(level[a] if a >= 0 else 0, level[b] if b >= 0 else 0)
-    return out
-
-
-def expand(rules: np.ndarray, seq: np.ndarray) -> np.ndarray:
-    """The ids that a sequence of symbols stands for: all nonterminals are opened once a round."""
-    while len(seq):
-        open_ = seq >= FIRST_RULE
-        if not open_.any():
-            break
-        where = np.cumsum(1 + open_) - 1 - open_
-        out = np.empty(len(seq) + int(open_.sum()), np.uint32)
-        out[where] = seq
-        pair = rules[seq[open_] - FIRST_RULE]
-        out[where[open_]], out[where[open_] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq
+            run = np.concatenate(([0], np.cumsum(after[at[:-1]] != at[1:])))
+            second = (np.arange(len(at)) - np.searchsorted(run, run)) % 2 == 0
+            if second.sum() < min_pair:  # too rare without overlaps
+                places = places[~hit]
+                continue
+            at, slot = at[second], slot[second]
+        fresh = np.column_stack((left[chosen], right[chosen]))
+        seq[at] = (FIRST_RULE + len(rules) + (np.cumsum(chosen) - 1)[slot]).astype(np.uint32)
+        spans = np.concatenate((spans, np.where(fresh < FIRST_RULE, 1, np.append(spans, 1)[np.maximum(fresh.astype(np.int64) - FIRST_RULE, 0)]).sum(1)))
+        rules = np.concatenate((rules, fresh))
+        gone[after[at]] = True
+        after[at] = after[after[at]]
+        before[after[at]] = at
+        places = np.sort(np.concatenate((places[~(hit | gone[places])], at[after[at] < n], (ahead := before[at])[ahead >= 0])))
+        places = places[np.concatenate(([True], places[1:] != places[:-1]))] if len(places) else places
+    return rules, spans, seq[:n][~gone[:n]]
+
+
+def expand(rules: np.ndarray, spans: np.ndarray, seq: np.ndarray) -> np.ndarray:
+    """The ids that a sequence of symbols stands for: the expansions of all rules are laid out once, then copied."""
+    if not len(rules):
+        return seq
+    begins = np.cumsum(spans) - spans
+    table = np.repeat(np.arange(FIRST_RULE, FIRST_RULE + len(rules), dtype=np.uint32), spans)  # first symbol of what is still to open
+    open_ = np.arange(len(rules), dtype=np.int64)
+    at = begins
+    while len(open_):  # a round opens the symbols at these places of the table by one step
+        left, right = rules[open_, 0], rules[open_, 1]
+        skip = np.where(left < FIRST_RULE, 1, spans[np.maximum(left.astype(np.int64) - FIRST_RULE, 0)])
+        table[at], table[at + skip] = left, right
+        at, symbols = np.concatenate((at, at + skip)), np.concatenate((left, right))
+        more = symbols >= FIRST_RULE
+        at, open_ = at[more], symbols[more].astype(np.int64) - FIRST_RULE
+    rule = np.where(seq >= FIRST_RULE, seq.astype(np.int64) - FIRST_RULE, -1)
+    size = np.where(rule >= 0, spans[rule], 1)
+    ends = np.cumsum(size)
+    source = np.where(rule >= 0, begins[rule], len(table) + np.arange(len(seq)))
+    return np.concatenate((table, seq))[np.repeat(source - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 # -- file format --------------------------------------------------------------------------------------------------
@@ -126,9 +137,9 @@ def expand(rules: np.ndarray, seq: np.ndarray) -> np.ndarray:
 
 def pack(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> bytes:
     """A shard: head, doc ids, ends of the documents in ids, rules, lengths of the rules, reduced sequence."""
-    rules, seq = compress(ids)
+    rules, spans, seq = compress(ids)
     head = _MAGIC + struct.pack("<4q", len(doc_ids), len(ids), len(rules), len(seq))
-    return head + doc_ids.astype("<i8").tobytes() + ends.astype("<i8").tobytes() + rules.astype("<u4").tobytes() + lengths(rules).astype("<i8").tobytes() + seq.astype("<u4").tobytes()
+    return head + doc_ids.astype("<i8").tobytes() + ends.astype("<i8").tobytes() + rules.astype("<u4").tobytes() + spans.astype("<i8").tobytes() + seq.astype("<u4").tobytes()
 
 
 class Shard:
@@ -146,7 +157,7 @@ class Shard:
         self.seq = np.frombuffer(payload, "<u4", seq, at + 8 * rules)
 
     def all(self) -> np.ndarray:
-        return expand(self.rules, self.seq)
+        return expand(self.rules, self.spans, self.seq)
 
     def document(self, k: int) -> np.ndarray:
         """Ids of the k-th document: only the symbols that cover it are expanded."""
@@ -157,53 +168,121 @@ class Shard:
         lo, hi = (self.ends[k - 1] if k else 0), self.ends[k]
         first, last = np.searchsorted(stops, lo, "right"), np.searchsorted(stops, hi, "left")
         skip = lo - (stops[first] - size[first]) if first < len(stops) else 0
-        return expand(self.rules, self.seq[first : last + 1])[skip : skip + hi - lo]
+        return expand(self.rules, self.spans, self.seq[first : last + 1])[skip : skip + hi - lo]
 
 
-#: Encoders of this worker, by vocabulary: their memory serves all its tasks.
-_encoders: dict = {}
+# -- words --------------------------------------------------------------------------------------------------------
+
+# Fixed values of the tokenizer file whose words are encoded once each: how it cuts a text, and the end of a word.
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_END = "</w>"
+#: Words of letters that have one form and one lower case each (ASCII, Latin-1 and Latin Extended-A), digits and signs ...
+_PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0132-\u017f]+")
+#: ... and the same cut for them, once they are in lower case.
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017f]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\u017f]+")
 
-# -- Spark jobs ---------------------------------------------------------------------------------------------------
 
+def _byte_letters() -> dict[int, int]:
+    """Letters that stand for bytes in a byte-level vocabulary: printable Latin-1 for itself, the rest from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in printable)}
 
-def _word_encoder(path: str):
-    """Text bytes -> ids as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and never joins across it, so each run of bytes without ASCII white space is
-    encoded once and remembered.
+class _Pieces(dict):
+    """Ids of the pieces of words, from the tokenizer's model."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.model, self.letters = tokenizer.model, _byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        tokens = self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))
+        self[piece] = out = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return out
+
+
+class WordEncoder:
+    """Texts in UTF-8 -> ids as little-endian 32-bit bytes, as the tokenizer gives them without special tokens added.
+
+    Where the tokenizer drops white space and never joins across it (the word vocabulary), each distinct word is encoded once and
+    remembered; a plain word is cut into pieces, which many words share.  Other tokenizers encode whole texts.
     """
-    if path in _encoders:
-        return _encoders[path]
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    memory: dict[bytes, bytes] = {}
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        cut = json.dumps(file.get("pre_tokenizer")) if file.get("pre_tokenizer") else ""
+        self.by_words = json.dumps(_CUT)[1:-1] in cut and file["model"].get("end_of_word_suffix") == _WORD_END
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in file.get("added_tokens", [])) or r"(?!)")
+        self.words: dict[str, bytes | None] = {}
+        self.pieces = _Pieces(self.tokenizer)
+
+    def _library(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a plain word; None for any other."""
+        if _PLAIN.fullmatch(word) and not ("<" in word and self.special.search(word)):
+            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(word.lower())))
+        return None
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_words:
+            return self._library(texts)
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(pa.array([t.decode("utf-8", "replace") for t in texts], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        known = self.words
+        new = [w for w in distinct if w not in known]
+        known.update(zip(new, map(self._word, new), strict=True))
+        others = [w for w in new if known[w] is None]
+        known.update(zip(others, self._library([w.encode() for w in others]), strict=True))
+        own = list(map(known.__getitem__, distinct))
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        ids = np.frombuffer(b"".join(own), "<u4")
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) >> 2
+        begins, n = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        out = ids[np.repeat(begins - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        bounds = (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [out[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+#: Encoders of this worker, by vocabulary: what they remember serves all its tasks.
+_encoders: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
-    def encode(texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        if len(memory) > CACHE_WORDS:
-            memory.clear()
-        new = list({w for words in split for w in words if w not in memory})
-        for e, w in zip(tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), new, strict=True):
-            memory[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(memory.__getitem__, words)) for words in split]
 
-    _encoders[path] = encode
-    return encode
+# -- Spark jobs ---------------------------------------------------------------------------------------------------
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Rows of the file format, in ascending doc_id order over (part, seq).
 
-    docs: doc_id, text.  A null or empty text is the end id alone; an empty table gives no shard.
+    docs: doc_id, text; further columns are ignored.  A null or empty text is the end id alone; an empty table gives no shard.
+    Rows without doc_id have no place in the order and are left out.  Rows of equal doc_id are documents of their own, in no fixed order.
     """
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encode, part, seq = _word_encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, seq = word_encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         ids: list[int] = []
         runs: list[bytes] = []
@@ -219,8 +298,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_to
 
         for batch in batches:
             texts = utf8(batch["text"])
-            for lo in range(0, len(texts), 256):
-                for doc, run in zip(batch["doc_id"][lo : lo + 256], encode(texts[lo : lo + 256]), strict=True):
+            for lo, hi in passes(texts, STEP_BYTES):
+                for doc, run in zip(batch["doc_id"][lo:hi], encode(texts[lo:hi]), strict=True):
                     ids.append(doc)
                     runs.append(run + end)
                     held += len(run) // 4 + 1
@@ -240,6 +319,8 @@ def read_shards(files: DataFrame) -> DataFrame:
     parts = totals.select("part", earlier.alias("before_part"))
     within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     begins = files.select("part", "seq", within.alias("before_shard")).join(F.broadcast(parts), "part").select("part", "seq", (F.col("before_part") + F.col("before_shard")).alias("begin"))
+    # three numbers for each shard: beside its payload of 100,000 bytes and more that is little enough to broadcast up to some millions of shards
+    few = files.count() <= BROADCAST_SHARDS
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -250,7 +331,7 @@ def read_shards(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts, ends, strict=True)]
                 yield pd.DataFrame({"doc_id": shard.doc_ids, "start": begin + starts, "n_tokens": ends - starts, "ids_crc32": crc})
 
-    rows = files.select("part", "seq", "payload").join(begins, ["part", "seq"]).select("begin", "payload")
+    rows = files.select("part", "seq", "payload").join(F.broadcast(begins) if few else begins, ["part", "seq"]).select("begin", "payload")
     return rows.mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -3,16 +3,19 @@
 A later document overlaps an earlier one where both hold a telling window: the fewest consecutive lines that have LEAST_WORDS
 words together, counted on from a line or back from it, so that every block of so many words consists of windows.  The nth
 occurrence of a window in a document is led back to the first document that holds it n times at least.  So a line that
-thousands of documents share makes one pair for each of them and each further occurrence, never pairs among them, no line is
-too frequent to count, and what some earlier document holds as often is found in a pair.  The pairs are aligned with patience
-diff over line hashes: anchors are windows that stand once in both, else the first ones left of those that stand more often;
-their longest ordered chain is kept and grown by equal neighbours, and what crosses it is aligned in a further pass.  The
-aligned blocks go from the later document.
+thousands of documents share makes one pair for each of them and each further occurrence, never pairs among them.
+
+Rare windows (in RARE_DOCS documents at most) choose the partners first.  A frequent one leads to a partner only for
+documents in which the alignments with those partners left it, so no repeated window stays without a pair.
+
+A pair is aligned by patience diff over line hashes: lines that stand once in both are anchors, their ordered chain with most
+words is kept, and the gaps between its anchors are aligned the same way; in a gap without such lines the nth occurrences are the anchors.
+Common blocks of the alignment go from the later document.  What crosses the chain isn't aligned and stays, unless it is
+a moved passage: a common block of MOVED_WORDS words at least.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bare, mix, stored
+from siltstone.llm.common import bare, fresh_names, mix, stored
 
 #: Words of a window that can lead to an earlier document, and so of a block that may be deleted.
 LEAST_WORDS = 5
+#: Documents that a rare window stands in at most.
+RARE_DOCS = 8
+#: Words of a common block that is deleted although it stands in another order than its surroundings.
+MOVED_WORDS = 50
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -36,20 +43,28 @@ def _lines(text: str = "text"):
 _KEY = r"transform(lines, l -> trim(regexp_replace(l, '[ \\t\\r\\x0b\\f]+', ' ')))"
 
 
-def chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Longest run of pairs (ascending in the first) that ascends in the second too, by patience sorting."""
-    tops: list[int] = []
-    piles: list[int] = []
+def chain(pairs: list[tuple[int, int]], weights: list[int]) -> list[tuple[int, int]]:
+    """Heaviest run of pairs (ascending in the first) that ascends in the second too; the first found of equal ones."""
+    ranks = {b: k + 1 for k, b in enumerate(sorted({b for _, b in pairs}))}
+    # best[r]: (weight, pair) of the heaviest run that ends at one of the ranks which the node covers
+    best: list[tuple[int, int]] = [(0, -1)] * (len(ranks) + 1)
     back: list[int] = []
+    top = (0, -1)
     for k, (_, b) in enumerate(pairs):
-        p = bisect_left(tops, b)
-        if p == len(tops):
-            tops.append(b)
-            piles.append(k)
-        else:
-            tops[p], piles[p] = b, k
-        back.append(piles[p - 1] if p else -1)
-    out, k = [], piles[-1] if piles else -1
+        r, before = ranks[b] - 1, (0, -1)
+        while r > 0:
+            if best[r][0] > before[0]:
+                before = best[r]
+            r &= r - 1
+        back.append(before[1])
+        own, r = (before[0] + weights[k], k), ranks[b]
+        while r < len(best):
+            if own[0] > best[r][0]:
+                best[r] = own
+            r += r & -r
+        if own[0] > top[0]:
+            top = own
+    out, k = [], top[1]
     while k >= 0:
         out.append(pairs[k])
         k = back[k]
@@ -71,54 +86,83 @@ def windows(words: np.ndarray, ends: np.ndarray, least_words: int = LEAST_WORDS)
     return both[0], both[1]
 
 
-def aligned(earlier: np.ndarray, later: np.ndarray, earlier_words: np.ndarray, words: np.ndarray, least_words: int = LEAST_WORDS) -> np.ndarray:
-    """Which lines of the later document stand in blocks that are aligned with the earlier one.
-
-    earlier_words, words: words of the lines.  A block is deleted if it has least_words words at least.
+def _anchors(earlier: list[int], later: list[int], words: list[int], span: tuple[int, int, int, int]) -> list[tuple[int, int]]:
+    """Anchor chain (later place, earlier place) of a gap: lines that stand once in both, or else their nth occurrences."""
+    e_lo, e_hi, l_lo, l_hi = span
+    where: dict[int, list[int]] = {}
+    at: dict[int, list[int]] = {}
+    for i in range(e_lo, e_hi):
+        where.setdefault(earlier[i], []).append(i)
+    for j in range(l_lo, l_hi):
+        if later[j] in where:
+            at.setdefault(later[j], []).append(j)
+    single = [(j[0], where[h][0]) for h, j in at.items() if len(j) == len(where[h]) == 1]
+    pairs = sorted(single or [pair for h, j in at.items() for pair in zip(j, where[h], strict=False)])
+    return chain(pairs, [words[j] + 1 for j, _ in pairs])
+
+
+def patience(earlier: list[int], later: list[int], words: list[int]) -> list[tuple[int, int]]:
+    """Aligned places (later, earlier) in ascending order, by patience diff; words: of the later lines, which the chain weighs."""
+    out: list[tuple[int, int]] = []
+    gaps = [(0, len(earlier), 0, len(later))]
+    while gaps:
+        e_lo, e_hi, l_lo, l_hi = gaps.pop()
+        while e_lo < e_hi and l_lo < l_hi and earlier[e_lo] == later[l_lo]:
+            out.append((l_lo, e_lo))
+            e_lo, l_lo = e_lo + 1, l_lo + 1
+        while e_lo < e_hi and l_lo < l_hi and earlier[e_hi - 1] == later[l_hi - 1]:
+            e_hi, l_hi = e_hi - 1, l_hi - 1
+            out.append((l_hi, e_hi))
+        if e_lo == e_hi or l_lo == l_hi:
+            continue
+        for j, i in (anchors := _anchors(earlier, later, words, (e_lo, e_hi, l_lo, l_hi))):
+            gaps.append((e_lo, i, l_lo, j))
+            e_lo, l_lo = i + 1, j + 1
+        out.extend(anchors)
+        if anchors:
+            gaps.append((e_lo, e_hi, l_lo, l_hi))
+    return sorted(out)
+
+
+def aligned(earlier: np.ndarray, later: np.ndarray, words: np.ndarray, least_words: int = LEAST_WORDS, moved_words: int = MOVED_WORDS) -> np.ndarray:
+    """Which lines of the later document stand in common blocks with the earlier one.
+
+    words: words of the later document's lines.  A block that is aligned goes from least_words words on, a moved one from moved_words on.
     """
-
-    def spans(lines: np.ndarray, n: np.ndarray) -> list[tuple[bytes, int, int]]:
-        return [(lines[i : j + 1].tobytes(), i, j + 1) for i, j in zip(*(x.tolist() for x in windows(n, np.array([len(n)]), least_words)), strict=True)]
-
-    def places(held: list[tuple[bytes, int, int]], free: bytearray) -> dict[bytes, list[int]]:
-        out: dict[bytes, list[int]] = {}
-        for h, i, j in held:
-            if 0 not in free[i:j]:
-                out.setdefault(h, []).append(i)
-        return out
-
     gone = np.zeros(len(later), bool)
-    held_e, held_l = spans(earlier, earlier_words), spans(later, words)
-    common = {h for h, _, _ in held_e} & {h for h, _, _ in held_l}
-    held_e, held_l = [x for x in held_e if x[0] in common], [x for x in held_l if x[0] in common]
-    size = {h: j - i for h, i, j in held_l}
-    earlier, later = earlier.tolist(), later.tolist()
+    total = np.concatenate(([0], np.cumsum(words)))
+    earlier, later = np.asarray(earlier).tolist(), np.asarray(later).tolist()
     free_e, free_l = bytearray(b"\1" * len(earlier)), bytearray(b"\1" * len(later))
-    while True:
-        where, at = places(held_e, free_e), places(held_l, free_l)
-        both = [h for h in at if h in where]
-        # windows that stand several times wait until no other is left: then their first free places are paired
-        chosen = [h for h in both if len(where[h]) == len(at[h]) == 1] or both
-        if not chosen:
-            return gone
-        anchors = sorted((at[h][0], where[h][0], size[h]) for h in chosen)
-        length = {(j, i): n for j, i, n in anchors}
-        for j, i in chain([(j, i) for j, i, _ in anchors]):
-            n = length[j, i]
-            if 0 in free_l[j : j + n] or 0 in free_e[i : i + n]:
+    pairs = patience(earlier, later, np.asarray(words).tolist())
+    begin = 0
+    for k in range(1, len(pairs) + 1):
+        if k == len(pairs) or pairs[k] != (pairs[k - 1][0] + 1, pairs[k - 1][1] + 1):
+            first, last = pairs[begin][0], pairs[k - 1][0]
+            if total[last + 1] - total[first] >= least_words:
+                gone[first : last + 1] = True
+                for j, i in pairs[begin:k]:
+                    free_l[j] = free_e[i] = 0
+            begin = k
+    # moved passages: common blocks of lines that are still free in both
+    places: dict[int, list[int]] = {}
+    for i, h in enumerate(earlier):
+        if free_e[i]:
+            places.setdefault(h, []).append(i)
+    for j in range(len(later)):
+        for i in places.get(later[j], ()):
+            if not free_l[j] or not free_e[i]:
                 continue
-            lo, hi = 0, n - 1
-            while j - lo - 1 >= 0 and i - lo - 1 >= 0 and free_l[j - lo - 1] and free_e[i - lo - 1] and later[j - lo - 1] == earlier[i - lo - 1]:
-                lo += 1
-            while j + hi + 1 < len(later) and i + hi + 1 < len(earlier) and free_l[j + hi + 1] and free_e[i + hi + 1] and later[j + hi + 1] == earlier[i + hi + 1]:
+            hi = 0
+            while j + hi < len(later) and i + hi < len(earlier) and free_l[j + hi] and free_e[i + hi] and later[j + hi] == earlier[i + hi]:
                 hi += 1
-            for d in range(-lo, hi + 1):
-                free_l[j + d] = free_e[i + d] = 0
-            gone[j - lo : j + hi + 1] = True
+            if total[j + hi] - total[j] >= moved_words:
+                gone[j : j + hi] = True
+                free_l[j : j + hi] = free_e[i : i + hi] = bytes(hi)
+    return gone
 
 
 def _telling(batch: pd.DataFrame, least_words: int) -> pd.DataFrame:
-    """doc_id, line: a key for each window and its nth occurrence in the document."""
+    """doc_id, line (a key for each window and its nth occurrence in the document), first and last line of the window."""
     sizes = batch["words"].str.len().to_numpy(np.int64)
     ends = np.cumsum(sizes)
     first, last = windows(np.concatenate(batch["words"].to_numpy()).astype(np.int64), ends, least_words)
@@ -130,55 +174,70 @@ def _telling(batch: pd.DataFrame, least_words: int) -> pd.DataFrame:
     keys, owner = keys[order], owner[order]
     fresh = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])))) if len(keys) else np.empty(0, np.int64)
     nth = np.arange(len(keys)) - np.repeat(fresh, np.diff(np.concatenate((fresh, [len(keys)]))))
-    return pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[owner], "line": mix(keys + nth.astype(np.uint64) * _BASE).view(np.int64)})
+    offset = (np.concatenate(([0], ends))[:-1])[owner]
+    return pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[owner], "line": mix(keys + nth.astype(np.uint64) * _BASE).view(np.int64), "first": first[order] - offset, "last": last[order] - offset})
 
 
-def overlaps(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, hashes, words per line), and the pairs (later, earlier) of documents that share a telling window."""
+def line_hashes(docs: DataFrame) -> DataFrame:
+    """doc_id, hashes and words of the lines of each document."""
     lines = bare(docs, "doc_id", "text").filter("doc_id is not null").select("doc_id", _lines().alias("lines")).select("doc_id", F.expr(_KEY).alias("keys"))
-    lines = lines.select("doc_id", F.expr("transform(keys, k -> xxhash64(k))").alias("hashes"), F.expr("transform(keys, k -> if(k = '', 0, size(split(k, ' '))))").alias("words"))
-    lines = stored(lines, "lines")
+    return lines.select("doc_id", F.expr("transform(keys, k -> xxhash64(k))").alias("hashes"), F.expr("transform(keys, k -> if(k = '', 0, size(split(k, ' '))))").alias("words"))
 
-    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _aligned_pairs(lines: DataFrame, pairs: DataFrame, least_words: int) -> DataFrame:
+    """later, gone: places of the lines that the alignment of each pair deletes; only pairs that delete some."""
+
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                yield _telling(batch, least_words)
+            rows = [(d, np.flatnonzero(aligned(e, h, np.asarray(w), least_words)).tolist()) for d, e, h, w in zip(*(batch[c] for c in batch.columns), strict=True)]
+            yield pd.DataFrame([r for r in rows if r[1]], columns=["later", "gone"])
 
-    telling = stored(lines.mapInPandas(tell, "doc_id long, line long"), "telling")
-    first = telling.groupBy("line").agg(F.min("doc_id").alias("earlier"), F.count("*").alias("n")).filter("n > 1").select("line", "earlier")
-    # stored, so that a frequent line's rows can be split in the join
-    pairs = telling.join(stored(first, "first-lines"), "line").filter("doc_id <> earlier").select(F.col("doc_id").alias("later"), "earlier").distinct()
-    return lines, pairs
+    early = lines.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("early"))
+    late = lines.select(F.col("doc_id").alias("later"), "hashes", "words")
+    both = pairs.join(early, "earlier").join(late, "later").select("later", "early", "hashes", "words")
+    return both.mapInPandas(align, "later long, gone array<int>")
 
 
-def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def _places(gone: DataFrame) -> DataFrame:
+    """All deleted places of each document; they are bounded by the document itself."""
+    return gone.select("later", F.explode("gone").alias("at")).groupBy("later").agg(F.collect_set("at").alias("gone"))
+
+
+def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, rare_docs: int = RARE_DOCS) -> DataFrame:
     """later, gone: the places (from 0) of lines to delete, for each document that repeats earlier ones."""
-    lines, pairs = overlaps(docs, least_words)
-    early = lines.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("early"), F.col("words").alias("early_words"))
-    late = lines.select(F.col("doc_id").alias("later"), "hashes", "words")
-    both = pairs.join(early, "earlier").join(late, "later").select("later", "early", "early_words", "hashes", "words")
 
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, np.flatnonzero(aligned(np.asarray(e), np.asarray(h), np.asarray(v), np.asarray(w), least_words)).tolist()) for d, e, v, h, w in zip(*(batch[c] for c in batch.columns), strict=True)]
-            yield pd.DataFrame(rows, columns=["later", "gone"])
+            if len(batch):
+                yield _telling(batch, least_words)
 
-    found = both.mapInPandas(align, "later long, gone array<int>")
-    # a document's lines are few against the corpus: the set of places is bounded by the document itself
-    return found.select("later", F.explode("gone").alias("at")).groupBy("later").agg(F.collect_set("at").alias("gone"))
+    lines = stored(line_hashes(docs), "lines")
+    telling = stored(lines.mapInPandas(tell, "doc_id long, line long, first int, last int"), "telling")
+    # stored, so that a frequent line's rows can be split in the join
+    firsts = stored(telling.groupBy("line").agg(F.min("doc_id").alias("earlier"), F.count("*").alias("n")).filter("n > 1"), "first-lines")
+    led = stored(telling.join(firsts, "line").filter("doc_id <> earlier").select(F.col("doc_id").alias("later"), "earlier", "n", "first", "last"), "led")
+    rare = led.filter(F.col("n") <= rare_docs).select("later", "earlier").distinct()
+    by_rare = stored(_aligned_pairs(lines, rare, least_words), "aligned-rare")
+    # windows that are still there lead to their own first holder, unless that pair was aligned already
+    left = led.filter(F.col("n") > rare_docs).join(_places(by_rare), "later", "left")
+    left = left.filter(F.expr("gone is null or exists(sequence(first, last), x -> not array_contains(gone, x))")).select("later", "earlier").distinct()
+    more = left.join(rare, ["later", "earlier"], "left_anti")
+    return _places(by_rare.unionByName(_aligned_pairs(lines, more, least_words)))
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs with the repeated blocks deleted from text, and n_lines, n_removed.
+    """docs with the repeated blocks deleted from text, and n_lines, n_removed (columns of these names are replaced).
 
-    docs: doc_id (unique), text and others, which stay.  The order is that of doc_id: of equal lines the lowest id's stays.
-    A null text stays null; a text of which all lines go is empty.  Rows without doc_id are left as they are.
+    docs: doc_id, text and others, which stay, whatever their names.  The order is that of doc_id: the earlier document keeps its
+    lines.  Rows that share a doc_id aren't compared with each other.  A null text stays null; a text of which all lines go is empty.
+    Rows without doc_id are left as they are, an empty table stays empty.
     """
-    gone = repeated_lines(docs, least_words).select(F.col("later").alias("__later"), F.col("gone").alias("__gone"))
-    out = docs.join(gone, F.col("doc_id") == F.col("__later"), "left").withColumn("__lines", _lines())
-    keep = F.expr("array_join(filter(__lines, (l, i) -> not array_contains(__gone, i)), '\n')")
-    out = out.withColumns({"text": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(keep), "n_lines": F.size("__lines"), "n_removed": F.coalesce(F.array_size("__gone"), F.lit(0))})
-    return out.drop("__later", "__gone", "__lines")
+    later, gone, lines = fresh_names(docs, "later", "gone", "lines")
+    found = repeated_lines(docs, least_words).select(F.col("later").alias(later), F.col("gone").alias(gone))
+    out = docs.drop("n_lines", "n_removed").join(found, F.col("doc_id") == F.col(later), "left").withColumn(lines, _lines())
+    keep = F.expr(f"array_join(filter(`{lines}`, (l, i) -> not array_contains(`{gone}`, i)), '\n')")
+    out = out.withColumns({"text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(keep), "n_lines": F.size(lines), "n_removed": F.coalesce(F.array_size(gone), F.lit(0))})
+    return out.drop(later, gone, lines)
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bare, partitions, stored
+from siltstone.llm.common import bare, fresh_names, partitions, stored
 
 #: Candidate boundaries that one round puts into each interval still open.
 PROBES = 64
@@ -93,16 +93,21 @@ def sort_into_shards(docs: DataFrame, shards: int, tolerance: float = TOLERANCE)
     """Adds size, text_crc32, shard (0..shards-1) and slot (gapless from 0 in each shard, in the order of the sort).
 
     docs: doc_id (unique, not null for the balance within equal texts), text, and further columns, which move along
-    in the one exchange.  A null text has size 8 and crc32 0 of no bytes; a null doc_id sorts first among equal texts.
+    in the one exchange, whatever their names; those named size, text_crc32, shard or slot are replaced.  A null text has size 8 and
+    crc32 0 of no bytes; a null doc_id sorts first among equal texts; repeated rows get slots of their own.
     An empty table gives an empty result.  Equal texts stand together; a boundary cuts such a group only where
     keeping it whole would miss the tolerance.
     """
+    (row,) = fresh_names(docs, "row")
     raw = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
-    return exchange(docs.withColumns({"size": F.length(raw).cast("long") + 8, "text_crc32": F.crc32(raw), "key": F.xxhash64(raw)}), shards, tolerance).drop("key")
+    keyed = docs.select(F.struct("*").alias(row), "doc_id", (F.length(raw).cast("long") + 8).alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("key"))
+    out = exchange(keyed, shards, tolerance)
+    own = [F.col(f"{row}.`{c}`") for c in docs.columns if c.lower() not in ("size", "text_crc32", "shard", "slot")]
+    return out.select(*own, "size", "text_crc32", "shard", "slot")
 
 
 def exchange(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE) -> DataFrame:
-    """The sort of rows that already have key, size and doc_id."""
+    """The sort of rows that have key, size and doc_id, and none of this job's own columns (edges, part, nth, shift)."""
     spark = keyed.sparkSession
     slim = stored(keyed.select("key", "doc_id", F.col("size").cast("long").alias("size")), "shard-keys")
     bounds = splitters(slim, shards, tolerance)

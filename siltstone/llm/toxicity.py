@@ -2,8 +2,10 @@
 
 The lexicon (words and word beginnings that mark toxic documents) is kept as a trie.  A Levenshtein automaton runs over
 a word and the trie together; their product is made deterministic as words need it, so that a word costs one table
-step for each letter.  A hit inside quotation marks or after a word of reporting counts as quoted.  How far each kind
-of hit (whole word or beginning, edits, quoted) marks toxic documents is measured on the training rows.
+step for each letter.  A hit inside quotation marks or after a word of reporting counts as quoted; words of reporting are
+those that stand before hits of clean training documents.  How far each kind of hit (whole word or beginning, edits, quoted)
+marks toxic documents is measured on the training rows.  The strongest kind gives a document's rate; the log odds of all its
+hits, for the words it has, order the documents of equal rates.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bare, is_held
+from siltstone.llm.common import bare, fresh_names, is_held
 
 #: The lexicon is fitted on about so many labelled documents at most, chosen by a hash of their id.
 MAX_TRAINING_DOCS = 20_000
@@ -34,12 +36,13 @@ COMMON_SHARE = 0.1
 FUZZY_FROM, FUZZY_BEGINNING_FROM = 5, 7
 #: Characters on each side that decide whether a hit is quoted.
 WINDOW = 80
-#: Words whose result a worker remembers before it starts anew; this bounds memory only.
-CACHE_WORDS = 1_000_000
+#: Words whose result a worker remembers (150 bytes each) before it starts anew; this bounds memory only.
+CACHE_WORDS = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
-# Quotation marks, and words that introduce what others said.
+#: Words before a hit among which a word of reporting is looked for; share of clean documents among those with the word there.
+REPORT_WITHIN, REPORT_SHARE = 3, 0.8
+# Quotation marks.
 _QUOTES = "\"“”„«»‹›"
-_REPORTING = {"said", "says", "wrote", "called", "quoted", "quote", "sagte", "schrieb", "nannte", "zitat", "dit", "écrit", "appelé", "cite", "dijo", "escribió", "llamó", "cita"}
 
 
 class Matcher:
@@ -143,12 +146,17 @@ class _Memory(dict):
         return found
 
 
-def quoted(text: str, start: int, end: int) -> bool:
+def words_before(text: str, start: int) -> list[str]:
+    """The last words of the line before a place, within the window."""
+    return _WORD.findall(text[max(0, start - WINDOW) : start].rpartition("\n")[2])[-REPORT_WITHIN:]
+
+
+def quoted(text: str, start: int, end: int, reporting: set[str]) -> bool:
     """Whether the place stands between quotation marks of its line, or close after a word of reporting."""
     before, after = text[max(0, start - WINDOW) : start].rpartition("\n")[2], text[end : end + WINDOW].partition("\n")[0]
     if sum(map(before.count, _QUOTES)) % 2 and any(q in after for q in _QUOTES):
         return True
-    return any(w in _REPORTING for w in _WORD.findall(before)[-3:])
+    return bool(reporting) and any(w in reporting for w in words_before(text, start))
 
 
 @dataclass
@@ -158,6 +166,8 @@ class Model:
     rates: dict[tuple[bool, int, bool], float] = field(default_factory=dict)
     #: the same for a document without hits
     base: float = 0.0
+    #: words that introduce what others said
+    reporting: set[str] = field(default_factory=set)
 
     def scorer(self):
         memory = _Memory(Matcher(self.terms))
@@ -170,15 +180,30 @@ class Model:
             out: dict[str, tuple[bool, int, bool]] = {}
             for m in _WORD.finditer(low):
                 if found := memory[m[0]]:
-                    kind = (found[1].endswith("*"), found[0], quoted(low, *m.span()))
+                    kind = (found[1].endswith("*"), found[0], quoted(low, *m.span(), self.reporting))
                     out[found[1]] = min(out.get(found[1], kind), kind, key=lambda k: (k[2], k[1]))
             return out
 
         return hits
 
-    def score(self, hits: dict) -> float:
-        """The rate of the most telling kind of hit: many weak hits in a long text add nothing."""
-        return max((self.rates.get(kind, self.base) for kind in hits.values()), default=self.base)
+    def score(self, hits: dict, n_words: int) -> float:
+        """The rate of the most telling kind of hit, raised towards the next higher rate (but not over 0.5) by further evidence.
+
+        The evidence is the sum of the hits' log odds over the base, for the square root of the words: many weak hits in a
+        long text never count as much as one telling hit.
+        """
+        rate = max((self.rates.get(kind, self.base) for kind in hits.values()), default=self.base)
+        above = min((r for r in (*self.rates.values(), 1.0) if r > rate), default=1.0)
+        if rate < 0.5:
+            above = min(above, 0.5)
+        odds = sum(max(0.0, _logit(self.rates.get(kind, self.base)) - _logit(self.base)) for kind in hits.values())
+        evidence = odds / math.sqrt(max(1, n_words))
+        return rate + 0.9 * (above - rate) * evidence / (1 + evidence)
+
+
+def _logit(p: float) -> float:
+    p = min(max(p, 1e-6), 1 - 1e-6)
+    return math.log(p / (1 - p))
 
 
 def _terms_of(text: str) -> set[str]:
@@ -266,6 +291,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -
     known = [r["terms"] for r in rows.filter("toxic > 0").select(F.pandas_udf(marked, "array<string>")("text").alias("terms")).collect()]
     model = Model(choose_terms(known, share))
 
+    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory, seen = _Memory(Matcher(model.terms)), Counter()
+        for batch in batches:
+            for text, label in zip(batch["text"], batch["toxic"], strict=True):
+                low = text.lower()
+                near = {w for m in _WORD.finditer(low) if memory[m[0]] for w in words_before(low, m.start()) if not memory[w]}
+                seen.update((w, int(label > 0)) for w in near)
+        if seen:
+            yield pd.DataFrame([(w, label, n) for (w, label), n in seen.items()], columns=["word", "label", "n"])
+
+    around = rows.mapInPandas(contexts, "word string, label int, n long").groupBy("word").agg(F.sum(F.expr("if(label = 0, n, 0)")).alias("clean"), F.sum("n").alias("n"))
+    # words of a bounded sample that stand before hits of several clean documents
+    model.reporting = {r["word"] for r in around.filter((F.col("clean") >= LEAST_DOCS) & (F.col("clean") >= REPORT_SHARE * F.col("n"))).collect()}
+
     def observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hits, seen = model.scorer(), Counter()
         for batch in batches:
@@ -287,23 +326,28 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds score (0 to 1), predicted (score >= 0.5), n_hits and n_quoted.  A null text is an empty one; other columns stay."""
+    """Adds score (0 to 1), n_hits, n_quoted and predicted (score >= 0.5); columns of these names are replaced, others stay.
+
+    A null or empty text has no hits and the score of a text without any.  Repeated rows are scored each, an empty table stays empty.
+    """
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hits = model.scorer()
         for batch in texts:
             found = [hits(t) if isinstance(t, str) else {} for t in batch]
-            yield pd.DataFrame({"score": [model.score(h) for h in found], "n_hits": [len(h) for h in found], "n_quoted": [sum(k[2] for k in h.values()) for h in found]})
+            yield pd.DataFrame({"score": [model.score(h, len(t.split()) if h else 0) for h, t in zip(found, batch, strict=True)], "n_hits": [len(h) for h in found], "n_quoted": [sum(k[2] for k in h.values()) for h in found]})
 
     scored = F.pandas_udf(run, "score double, n_hits int, n_quoted int")
-    columns = docs.columns
-    out = docs.withColumn("toxicity_of_text", scored(F.col("text")))
-    return out.select(*columns, "toxicity_of_text.*").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    (found,) = fresh_names(docs, "found")
+    out = docs.drop("score", "n_hits", "n_quoted", "predicted").withColumn(found, scored(F.col("text")))
+    return out.select(*[F.col(f"`{c}`") for c in out.columns if c != found], f"{found}.*").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that the model doesn't reject, with their own columns."""
-    return score(docs, model).filter("predicted = 0").select(*docs.columns)
+    """The documents that the model doesn't reject, with their own columns, whatever their names."""
+    (kept,) = fresh_names(docs, "kept")
+    text = docs.select(F.struct("*").alias(kept), "text")
+    return score(text, model).filter("predicted = 0").select(f"{kept}.*")
 
 
 def training_labels(spark, sf_dir: str) -> DataFrame:

@@ -46,6 +46,17 @@ def test_sharding(docs):
     assert sharding.sort_into_shards(docs.limit(0), 3).count() == 0
 
 
+def test_sharding_against_brute_force(spark):
+    rows = [(i, words(i, 40) if i % 3 else "the same text " * 20, "k", 1, 2, 3, "e") for i in range(600)] + [(None, "no id", "k", 1, 2, 3, "e"), (700, None, "k", 1, 2, 3, "e")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, key string, shift int, part int, nth int, edges string").repartition(7)
+    got = sharding.sort_into_shards(d, 8, 0.02).collect()
+    want = {i: (len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in rows}
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in got} == want and all((r.key, r.shift, r.part, r.nth, r.edges) == ("k", 1, 2, 3, "e") for r in got)
+    held = {s: [r for r in got if r.shard == s] for s in range(8)}
+    mean = sum(n for n, _ in want.values()) / 8
+    assert all(sorted(r.slot for r in x) == list(range(len(x))) and abs(sum(r["size"] for r in x) - mean) < 700 for x in held.values())
+
+
 def test_token_files(docs):
     files = common.stored(dataset_files.write_shards(docs, dataset_files.tokenizer_path("word_bpe_49k.json"), shard_tokens=500), "t")
     got = {r.doc_id: r for r in dataset_files.read_shards(files).collect()}
@@ -74,16 +85,44 @@ def test_sentencepieces_equal_the_library(docs):
     path = dataset_files.tokenizer_path("piece_bpe_32k.model")
     p, c = sentencepiece.SentencePieceProcessor(model_file=path), sentencepieces.codec(path)
     texts = ["", " ", "The  cat\nsat", "é 日本語 \U0001f600", "aaaa aaaaaaa", *(words(i, 50) for i in range(20))]
-    assert c.encode(texts) == p.encode(texts)
-    assert [c.decode(x) for x in c.encode(texts)] == texts
+    assert [x.tolist() for x in c.encode(texts)] == p.encode(texts)
+    assert [c.decode(x.tolist()) for x in c.encode(texts)] == texts
     assert all(r.round_trip for r in sentencepieces.round_trips(docs, path).collect())
 
 
+def test_re_pair_runs_to_its_end():
+    from collections import Counter
+
+    r = np.random.default_rng(3)
+    for least in (2, 3, 5, 16):
+        for n in (0, 1, 2, 50, 3000):
+            ids = r.integers(0, r.integers(1, 9), n).astype(np.uint32)
+            rules, spans, seq = dataset_files.compress(ids, least)
+            assert (dataset_files.expand(rules, spans, seq) == ids).all()
+            assert [len(dataset_files.expand(rules, spans, np.array([dataset_files.FIRST_RULE + k], np.uint32))) for k in range(len(rules))] == spans.tolist()
+            left = Counter(zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True))
+            assert all(k < least for (a, b), k in left.items() if a != b)
+
+
+def test_words_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    texts = ["", "foo<|endoftext|>bar <|startoftext|>", "İstanbul ﬁne ŉ ſx it's They'LL 12a3 ß ẞ Σας ς é", "a\u00a0b\u2003“x” «y» ª º µm \x01\x02 a\x1cb", "漢字 e\u0301 \u0301x $$$ <b>", *(words(i, 50) for i in range(5))]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = dataset_files.tokenizer_path(name)
+        t, e = Tokenizer.from_file(path), dataset_files.WordEncoder(path)
+        want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+        for _ in range(2):  # new words, then remembered ones
+            assert [np.frombuffer(x, "<u4").tolist() for x in e.encode([x.encode() for x in texts])] == want
+        assert e.by_words == (name == "word_bpe_49k.json")
+
+
 def test_unigram_walk_is_the_best_segmentation():
     class V:
         unigram, score, worst = True, {"a": -1.0, "b": -1.5, "ab": -1.8, "abc": -4.0, "c": -1.0, "bc": -1.2}, -20.0
         id = {p: i for i, p in enumerate(score)}
-        begins = {p[:k] for p in score for k in range(1, len(p) + 1)}
+        below, ends = sentencepieces.piece_trie(id)
+        score_of = list(score.values())
         fallback = staticmethod(lambda c: [99])
 
     def best(w):
@@ -94,6 +133,17 @@ def test_unigram_walk_is_the_best_segmentation():
         assert walk.encode(w) == [V.id.get(p, 99) for p in best(w)[1]]
 
 
+def test_toxicity_keeps_clashing_columns(spark):
+    model = toxicity.Model(["idiot"], {(False, 0, False): 0.9, (False, 0, True): 0.2, (False, 1, False): 0.7}, 0.1, {"wrote"})
+    texts = ["you idiot", "he wrote idiot to us", "plain words", None, "", "you idoit and idiot " + "word " * 3000]
+    d = spark.createDataFrame([(i, t, "mine", 7, "k") for i, t in enumerate(texts)], "doc_id long, text string, score string, n_hits int, kept string")
+    got = {r.doc_id: r for r in toxicity.score(d, model).collect()}
+    assert [got[i].predicted for i in range(6)] == [1, 0, 0, 0, 0, 1] and got[2].score == got[3].score == 0.1 < got[1].score < 0.5
+    kept = {r.doc_id: r for r in toxicity.without_toxic(d, model).collect()}
+    assert set(kept) == {1, 2, 3, 4} and kept[1].score == "mine" and kept[1].kept == "k"
+    assert toxicity.score(d.limit(0), model).count() == 0
+
+
 def test_levenshtein_trie():
     m = toxicity.Matcher(["idiot", "lowei*", "vequ*", "bad"])
     assert m.match("idiot") == (0, "idiot") and m.match("idot") == (1, "idiot") and m.match("idioot") == (1, "idiot") and m.match("idxxt") is None
@@ -134,6 +184,63 @@ def test_html_drops_only_what_a_host_repeats(spark):
     assert all(got[20 + i] == (f"{words(20 + i, 12)}\n\n{shared}" if i < 3 else words(20 + i, 12)) for i in range(8))
 
 
+def test_html_keeps_articles_with_telling_names():
+    long = words(70, 40)
+    for page in (
+        f"<article class='widget'><p>{long}</p></article>",
+        f"<div class='main-content has-sidebar'><p>{long}</p></div><div class='sidebar'>{words(71, 20)}</div>",
+        f"<main><section id='search'><p>{long}</p></section></main>",
+        f"<article><p class='share-price'>{long}</p><div class='ad-slot-2 x'>{words(72, 20)}</div></article>",
+        f"<div class='post related-work'>{long}</div><ul class='share_buttons'><li>{words(73, 9)}</li></ul>",
+        f"<div class='social-sciences'>{long}</div><div role='search'>{words(74, 9)}</div>",
+    ):
+        assert [t for p, t in html_text.blocks(page) if p != html_text.OUTSIDE] == [long]
+
+
+def _brute_runs(pages):
+    """Windows of RUN words that so many distinct pages of one host hold."""
+    held = {}
+    for i, page in enumerate(dict.fromkeys(pages)):
+        w = page.split()
+        for k in range(len(w) - html_text.RUN + 1):
+            held.setdefault(tuple(w[k : k + html_text.RUN]), set()).add(i)
+    n = len(set(pages))
+    return {k for k, x in held.items() if len(x) >= max(html_text.LEAST_PAGES, html_text.SHARE * n)}
+
+
+def test_html_repeats_against_brute_force(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    shared = [words(80 + k, int(r.integers(4, 25))) for k in range(6)]
+    pages = []
+    for i in range(60):
+        lines = [words(2000 + i, int(r.integers(20, 40))), *(shared[k] for k in range(6) if r.random() < 0.15 * (k + 1))]
+        pages.append([lines[k] for k in r.permutation(len(lines))])
+    pages += pages[:5]  # repeated pages count once
+    rows = [(i, f"http://h/{i}", "<article>" + "".join(f"<p>{t}</p>" for t in x) + "</article>") for i, x in enumerate(pages)]
+    d = spark.createDataFrame([(*x, "mine") for x in rows], "page_id long, url string, html string, host string")
+    repeated = _brute_runs([" ".join(x) for x in pages])
+    want = {}
+    for i, x in enumerate(pages):
+        w, owner = " ".join(x).split(), [k for k, t in enumerate(x) for _ in t.split()]
+        covered = [False] * len(w)
+        for k in range(len(w) - html_text.RUN + 1):
+            if tuple(w[k : k + html_text.RUN]) in repeated:
+                covered[k : k + html_text.RUN] = [True] * html_text.RUN
+        whole = {k for k in range(len(x)) if all(c for c, o in zip(covered, owner, strict=True) if o == k)}
+        fits = sum(len(x[k].split()) for k in whole) <= html_text.MOST * len(w)
+        want[i] = "\n\n".join(t for k, t in enumerate(x) if not (fits and k in whole))
+    assert any(len(want[i]) < len("\n\n".join(x)) for i, x in enumerate(pages))
+    for array_pages in (2000, 7):  # one array for the host, and many that are merged
+        assert {r.page_id: r.text for r in html_text.main_text(d, array_pages).collect()} == want
+    assert html_text.main_text(d.limit(0)).count() == 0
+    # the array decides: out of order it finds nothing that holds on three pages
+    hosts, streams = np.zeros(60, np.int64), np.arange(60)
+    kept = [([html_text.KEPT] * len(x), x) for x in pages[:60]]
+    assert html_text.Streams(hosts, streams, kept).repeated().any()
+    monkeypatch.setattr(html_text, "suffix_order", lambda t, depth: (np.random.default_rng(0).permutation(len(t)), np.arange(len(t))))
+    assert not html_text.Streams(hosts, streams, kept).repeated().any()
+
+
 def test_line_dedup(spark):
     passage = words(5, 60)
     d = spark.createDataFrame([(1, f"{words(1, 9)}\n{passage}\nend"), (2, f"{passage}\n{words(2, 9)}"), (3, words(3, 9)), (4, None)], "doc_id long, text string")
@@ -150,6 +257,31 @@ def test_line_dedup_finds_what_any_earlier_document_holds(spark):
     assert (got[0], got[3], got[4], got[5], got[6], got[7]) == (texts[0], texts[3], "q", texts[5], "q", texts[7])
 
 
+def test_line_dedup_aligns_one_chain(spark):
+    six = [words(i, 9) for i in range(20, 26)]
+    one, other = words(30, 60), words(31, 60)
+    texts = ["\n".join(six), "\n".join(six[::-1]), f"{words(32, 9)}\n{one}\n{words(33, 9)}\n{other}", f"{other}\n{words(34, 9)}\n{one}"]
+    d = spark.createDataFrame([(i, t, "mine", "mine too") for i, t in enumerate(texts)], "doc_id long, text string, later string, n_lines string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(d).collect()}
+    assert got[1].n_removed == 1  # a chain of patience diff holds one of reversed lines
+    assert got[3].text == words(34, 9) and got[3].later == "mine" and got[3].n_lines == 3  # long passages go though they cross
+    assert line_dedup.dedup_lines(d.limit(0)).count() == 0
+
+
+def test_line_dedup_against_brute_force(spark):
+    r = np.random.default_rng(11)
+    pool = [words(1000 + k, int(r.integers(5, 12))) for k in range(60)]
+    held = [np.sort(r.choice(60, int(r.integers(1, 12)), replace=False)) for _ in range(60)]  # one order, so that nothing crosses
+    d = spark.createDataFrame([(i, "\n".join(pool[k] for k in own)) for i, own in enumerate(held)], "doc_id long, text string").repartition(5)
+    seen, want = set(), {}
+    for i, own in enumerate(held):
+        want[i] = "\n".join(pool[k] for k in own if k not in seen)
+        seen.update(own.tolist())
+    for rare in (0, 2, 1000):
+        gone = {x.later: set(x.gone) for x in line_dedup.repeated_lines(d, rare_docs=rare).collect()}
+        assert {i: "\n".join(pool[k] for n, k in enumerate(own) if n not in gone.get(i, ())) for i, own in enumerate(held)} == want
+
+
 def test_decontamination(spark):
     item = words(6, 20)
     d = spark.createDataFrame([(1, f"{words(1, 500)} {item} {words(2, 500)}"), (2, words(3, 500)), (3, " ".join(item.split()[:18])), (4, " ".join(item.split()[:8])), (5, None)], "doc_id long, text string")
