@@ -170,7 +170,7 @@ def cache_expiry(query, now) -> Column:
 def canonical_value(value) -> Column:
     """Decimal text without needless zeros for a number (33.10 is 33.1), else the trimmed lower-case text."""
     text = F.trim(_col(value))
-    number = F.try_to_number(text, F.lit("S" + "9" * 28 + "D" + "9" * 10)) if False else text.try_cast("decimal(38,10)")
+    number = text.try_cast("decimal(38,10)")
     plain = F.regexp_replace(F.regexp_replace(number.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     plain = F.when(number == 0, "0").otherwise(plain)
     return F.coalesce(plain, F.lower(text))
@@ -186,7 +186,10 @@ def percent_is_rough(value) -> Column:
 
 def metric_display(key, value) -> Column:
     key, value = _col(key), _col(value)
-    rounded = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", F.round(value, 6)), r"0+$", ""), r"\.$", "")
+    # six significant digits, without needless zeros
+    exponent = F.when(value == 0, 0).otherwise(F.floor(F.log10(F.abs(value)))).cast("int")
+    factor = F.pow(F.lit(10.0), F.lit(5) - exponent)
+    rounded = F.regexp_replace(F.regexp_replace(F.format_string("%.12f", F.round(value * factor) / factor), r"0+$", ""), r"\.$", "")
     return (
         F.when(key.endswith("_pct"), F.concat(F.format_string("%.1f", value), F.lit("%")))
         .when(key.endswith("_usd_billion"), F.concat(rounded, F.lit(" USD billion")))

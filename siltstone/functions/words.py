@@ -67,14 +67,5 @@ FILING_MARKERS = ("官方", "财报", "年报", "季报", "公告", "results", "
 ALL_QUARTERS = ("各季度", "所有季度", "逐季", "QUARTERS", "QUARTERLY")
 CHINESE_DIGITS = ("一二三四", "1234")
 
-#: key, label, metric, unit, currency
-QUARTERLY_METRICS = (
-    ("revenue_usd_billion", "营收", "revenue", "billion", "USD"),
-    ("gross_margin_pct", "毛利率", "gross_margin", "percent", None),
-    ("operating_margin_pct", "营业利润率", "operating_margin", "percent", None),
-    ("operating_profit_usd_billion", "营业利润", "operating_profit", "billion", "USD"),
-    ("usd_ntd_exchange_rate", "平均汇率（1 USD 对 NTD）", "usd_ntd_exchange_rate", "NTD_per_USD", None),
-)
-
 TOOL_LIMITS = {"web_search": 2, "search_reports": 1, "lookup_terms": 1, "get_company_data": 2, "financial_calculator": 4}
 MAX_TOOLS = 6

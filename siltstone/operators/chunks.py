@@ -126,10 +126,11 @@ def chunk_tables(found: DataFrame) -> DataFrame:
 
 
 def chunk_documents(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Text chunks of all sections and table chunks together; a page without sections is chunked whole."""
-    cut = sections(pages)
-    whole = pages.join(cut.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti").select("doc_id", "page", F.lit(FIRST_SECTION).alias("section"), "text")
-    text = chunk_texts(cut.select("doc_id", "page", "section", "text").unionByName(whole), size, overlap).select("id", "doc_id", "page", "text", F.lit("text").alias("chunk_type"))
+    """Text chunks of all sections and table chunks together, without a shuffle.
+
+    Only a blank page has no sections, and chunking it whole gives no chunk either.
+    """
+    text = chunk_texts(sections(pages).select("doc_id", "page", "section", "text"), size, overlap).select("id", "doc_id", "page", "text", F.lit("text").alias("chunk_type"))
     return text.unionByName(chunk_tables(tables(pages)).select("id", "doc_id", "page", "text", "chunk_type"))
 
 
@@ -139,7 +140,7 @@ def repair_tables(primary: DataFrame, second: DataFrame, share: float = 0.3) ->
     Poor: fewer than two columns or no row.  Then one-column tables take the first second-engine table within a page that is as
     wide at least, and pages without any primary table take all of the second engine's.
     """
-    poor = primary.groupBy("doc_id").agg((F.count_if("cols < 2 or rows < 1") / F.count("*")).alias("p")).filter(F.col("p") > share).select("doc_id")
+    poor = primary.groupBy("doc_id").agg((F.expr("count_if(cols < 2 or rows < 1)") / F.count("*")).alias("p")).filter(F.col("p") > share).select("doc_id")
     mend = primary.join(poor, "doc_id", "left_semi").filter("cols = 1").select("doc_id", "page", "table_index", "cols")
     near = mend.withColumn("at", F.explode(F.array(F.col("page") - 1, F.col("page"), F.col("page") + 1)))
     other = second.select("doc_id", F.col("page").alias("at"), F.col("table_index").alias("k"), F.struct(*second.columns).alias("s"))

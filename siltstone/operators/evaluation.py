@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions import words as W
+
 
 def _flat(c):
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
@@ -79,3 +81,18 @@ def number_citations(citations: DataFrame, key: str = "answer_id") -> DataFrame:
     same = [key, "source_type", "source", F.coalesce("page", F.lit(0)), *[F.when(F.col("source_type") == "financial", F.coalesce(F.col(c), F.lit(""))).otherwise("") for c in ("period", "title")]]
     once = citations.withColumn("__n", F.row_number().over(Window.partitionBy(*same).orderBy("pos"))).filter("__n = 1").drop("__n")
     return once.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("pos")))
+
+
+def budget_plans(plans: DataFrame, limits: dict[str, int] = W.TOOL_LIMITS, most: int = W.MAX_TOOLS) -> DataFrame:
+    """Planned calls (plan_id, pos, tool, args as JSON with sorted keys) that stay: known tools, each call once, within the limits.
+
+    The first calls stay; the sequential rule equals three row numbers one after another.
+    """
+    allowed = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
+    rows = plans.withColumn("limit", allowed[F.col("tool")]).filter("limit is not null and args is not null")
+
+    def first(rows: DataFrame, keys: list[str], limit) -> DataFrame:
+        return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))).filter(F.col("nth") <= limit).drop("nth")
+
+    rows = first(first(first(rows, ["plan_id", "tool", "args"], F.lit(1)), ["plan_id", "tool"], F.col("limit")), ["plan_id"], F.lit(most))
+    return rows.drop("limit")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.finance import growth, ratio
-from siltstone.functions.scalars import canonical_value, is_time_sensitive, source_date
+from siltstone.functions.scalars import canonical_value, is_time_sensitive, percent_is_rough, percent_value, source_date, stable_id
 
 STALE_DAYS = 550
 
@@ -42,8 +42,10 @@ def period_index(period: str) -> Column:
 def growth_series(values: DataFrame, *keys: str) -> DataFrame:
     """Adds qoq and yoy growth (per cent) to rows of keys, period, value; only where that exact earlier period exists."""
     rows = values.withColumn("q", period_index("period"))
-    past = lambda k, name: rows.select(*keys, (F.col("q") + k).alias("q"), F.col("value").alias(name))
-    out = rows.join(past(1, "prior_quarter"), [*keys, "q"], "left").join(past(4, "prior_year"), [*keys, "q"], "left")
+    # one window by quarter number: exactly one and exactly four quarters back
+    by = Window.partitionBy(*keys).orderBy("q")
+    back = lambda k: F.when(F.col("q").isNotNull(), F.max("value").over(by.rangeBetween(-k, -k)))
+    out = rows.withColumns({"prior_quarter": back(1), "prior_year": back(4)})
     return out.withColumns({"qoq": growth("value", "prior_quarter"), "yoy": growth("value", "prior_year")}).drop("q", "prior_quarter", "prior_year")
 
 
@@ -68,6 +70,36 @@ def common_periods(rows: DataFrame) -> DataFrame:
     return per.join(F.broadcast(n), F.col("k") == F.col("n")).select("period")
 
 
+def chunks_with_provenance(chunks: DataFrame, documents: DataFrame, sources: DataFrame) -> DataFrame:
+    """Chunks (document_id, ...) with title and publisher of their document's source; chunks without either are left out.
+
+    Plain equi-joins: Spark broadcasts documents or sources where its statistics allow that.
+    """
+    return chunks.join(documents.select("document_id", "source_id"), "document_id").join(sources.select("source_id", "title", "publisher"), "source_id")
+
+
+def facts_of_records(quarters: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Facts (company, metric, period, value, unit, source_id, trust_tier) of registry rows (company, period, metric key, value).
+
+    metrics: key, metric, unit.  Each company and period is a source of its own, of the first tier.
+    """
+    rows = quarters.withColumnRenamed("metric", "key").join(F.broadcast(metrics), "key")  # a dictionary of some dozens of keys
+    source = stable_id("src", F.lit("registry"), F.concat_ws(" ", "company", "period"))
+    return rows.select("company", "metric", "period", F.col("value").cast("string").alias("value"), "unit", source.alias("source_id"), F.lit(1).alias("trust_tier"))
+
+
+def dashboard(quarters: DataFrame, mix: DataFrame) -> DataFrame:
+    """company, series, mix: revenue and margin of the periods that all companies have, and the process mix with rough shares marked.
+
+    quarters: company, period, metric, value.  mix: company, process, share (text).
+    """
+    shown = quarters.join(common_periods(quarters), "period", "left_semi")
+    wide = shown.groupBy("company", "period").pivot("metric", ["revenue", "gross_margin"]).agg(F.first("value"))
+    series = wide.groupBy("company").agg(F.sort_array(F.collect_list(F.struct("period", "revenue", "gross_margin"))).alias("series"))
+    shares = mix.groupBy("company").agg(F.sort_array(F.collect_list(F.struct("process", percent_value("share").alias("percent"), percent_is_rough("share").alias("rough")))).alias("mix"))
+    return series.join(shares, "company", "left")
+
+
 def requested_quarters(requests: DataFrame, facts: DataFrame) -> DataFrame:
     """company, period, value, status for each requested quarter: `found`, or `missing`, never the annual figure instead."""
     rows = requests.join(facts.select("company", "period", "value"), ["company", "period"], "left")

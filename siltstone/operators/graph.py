@@ -2,30 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import stable_id
 
-#: Aliases up to which the alias side is broadcast into the substring join.
-BROADCAST_ALIASES = 10_000
+#: Aliases in one block that is broadcast into the substring join.
+ALIAS_BLOCK = 10_000
 
 
-def mentions(texts: DataFrame, aliases: DataFrame, key: str = "query_id", text: str = "text", by: str = "name") -> DataFrame:
+def mentions(texts: DataFrame, aliases: DataFrame, key: str = "query_id", text: str = "text", by: str = "name", block: int = ALIAS_BLOCK) -> DataFrame:
     """key, name, pos: every name of which an alias stands in the text (case aside), with the lowest place of such an alias.
 
-    aliases: name, alias, pos.  The alias table is broadcast up to BROADCAST_ALIASES rows; a larger one is matched by whole words,
-    which joins on words instead of comparing every pair.
+    aliases: name, alias, pos.  Blocks of `block` aliases are broadcast in turn, so that the rows are the same at every size.
     """
     a = aliases.select(by, F.lower("alias").alias("alias"), "pos").filter("alias <> ''")
     low = texts.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("low"))
-    if a.count() <= BROADCAST_ALIASES:
-        found = low.join(F.broadcast(a), F.contains("low", F.col("alias")))
-    else:
-        first = lambda c: F.regexp_extract(c, r"^[\p{L}\p{N}]+", 0)
-        words = low.select(key, "low", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w"))
-        found = words.join(a.withColumn("w", first("alias")), "w").filter(F.contains("low", F.col("alias")))
-    return found.groupBy(key, by).agg(F.min("pos").alias("pos"))
+    blocks = max(1, -(-a.count() // block))
+    dealt = a.withColumn("block", F.pmod(F.xxhash64("alias", by), F.lit(blocks)))
+    found = [low.join(F.broadcast(dealt.filter(F.col("block") == k)), F.contains("low", F.col("alias"))).select(key, by, "pos") for k in range(blocks)]
+    return reduce(DataFrame.unionByName, found).groupBy(key, by).agg(F.min("pos").alias("pos"))
+
+
+def scoped_sources(queries: DataFrame, companies: DataFrame, reports: DataFrame) -> DataFrame:
+    """query_id, source: reports (source, title) whose name or title holds an alias of a company that the query names, each once.
+
+    companies: name, alias, pos.  Queries without such a company have no rows.
+    """
+    named = mentions(queries, companies, "query_id", "query").select("query_id", "name")
+    held = mentions(reports.select("source", F.concat_ws(" ", "source", "title").alias("text")), companies, "source").select("source", "name")
+    return named.join(held, "name").select("query_id", "source").distinct()
 
 
 def term_aliases(name, english):

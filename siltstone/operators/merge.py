@@ -30,7 +30,7 @@ def upsert(stored: DataFrame, changes: DataFrame, keys: list[str], policy: dict[
 def upsert_sources(stored: DataFrame, changes: DataFrame) -> DataFrame:
     """Sources by kind and url (title where there is none): newest title and metadata, known publisher and day, least tier."""
     changes = changes.withColumn("id", stable_id("src", "source_type", F.coalesce(F.nullif(F.col("url"), F.lit("")), F.col("title"))))
-    policy = {"source_type": FIRST, "url": FIRST, "title": NEWEST, "publisher": KNOWN, "published_at": KNOWN, "content_hash": KNOWN, "trust_tier": LEAST, "created_at": FIRST}
+    policy = {"source_type": FIRST, "url": FIRST, "title": NEWEST, "metadata": NEWEST, "publisher": KNOWN, "published_at": KNOWN, "content_hash": KNOWN, "trust_tier": LEAST, "created_at": FIRST}
     return upsert(stored, changes, ["id"], {c: p for c, p in policy.items() if c in changes.columns}, "retrieved_at")
 
 
@@ -40,7 +40,7 @@ def upsert_documents(stored: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def upsert_chunks(stored: DataFrame, changes: DataFrame) -> DataFrame:
-    policy = {"id": FIRST, "text": FIRST, "page": NEWEST, "section": NEWEST, "chunk_type": NEWEST}
+    policy = {"id": FIRST, "text": FIRST, "page": NEWEST, "section": NEWEST, "chunk_type": NEWEST, "metadata": NEWEST}
     return upsert(stored, changes, ["document_id", "content_hash"], {c: p for c, p in policy.items() if c in changes.columns}, "created_at")
 
 
@@ -48,7 +48,7 @@ FACT_KEY = ["company", "metric", "period", "source_id", "value", "unit"]
 
 
 def upsert_facts(stored: DataFrame, changes: DataFrame) -> DataFrame:
-    policy = {"confidence": NEWEST, "document_id": KNOWN, "currency": KNOWN, "page": KNOWN, "quote": KNOWN}
+    policy = {"confidence": NEWEST, "metadata": NEWEST, "document_id": KNOWN, "currency": KNOWN, "page": KNOWN, "quote": KNOWN}
     return upsert(stored, changes, FACT_KEY, {c: p for c, p in policy.items() if c in changes.columns}, "updated_at")
 
 

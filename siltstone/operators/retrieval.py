@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import words as W
-from siltstone.functions.scalars import contains_any, lexical_tokens
+from siltstone.functions.scalars import contains_any, expand_query, lexical_tokens, route
 
 K1, B = 1.5, 0.75
 RRF = 60
@@ -142,7 +142,7 @@ def rerank(hits: DataFrame, score: Callable | None, n: int) -> DataFrame:
     """Best n by score(query, text), a pandas_udf column function; without one the order stays."""
     rows = hits if score is None else hits.withColumn("rerank_score", score(F.col("query"), F.col("text")))
     order = [F.col("rank")] if score is None else [F.col("rerank_score").desc(), F.col("rank")]
-    return top(rows.withColumnRenamed("rank", "before") if False else rows.withColumn("before", F.col("rank")), n, *[F.col("before") if o is order[-1] else o for o in order])
+    return top(rows, n, *order, rank="nth").withColumn("rank", F.col("nth")).drop("nth")
 
 
 def coverage(query, text) -> Column:
@@ -171,10 +171,41 @@ def normalized(vector) -> Column:
 
 
 def embed(rows: DataFrame, model: Callable[[list[str]], list], batch: int = 16) -> DataFrame:
-    """Adds `vector`, the normalised output of model(texts) in batches."""
+    """Adds `vector`, the L2-normalised output of model(texts) in batches; a zero vector stays."""
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
-            yield pd.Series([list(map(float, v)) for lo in range(0, len(t), batch) for v in model(list(t[lo : lo + batch]))], dtype=object)
+            raw = [np.asarray(v, float) for lo in range(0, len(t), batch) for v in model(list(t[lo : lo + batch]))]
+            yield pd.Series([v / n if (n := np.linalg.norm(v)) > 0 else v for v in raw], dtype=object)
 
-    return rows.withColumn("vector", normalized(F.pandas_udf(run, "array<double>")("text")))
+    return rows.withColumn("vector", F.pandas_udf(run, "array<double>")("text"))
+
+
+def hybrid_query(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, asked: DataFrame, k: int, score: Callable | None = None) -> DataFrame:
+    """The whole hybrid search: query_id, id, source, chunk_type, text, fused, rank of the best k chunks for each query.
+
+    queries: query_id, query.  chunks: id, text, source, chunk_type.  vectors: id, vector of the chunks.  asked: query_id, vector.
+    Dense hits of both collections and BM25 hits (of the query, and of its expansion where that adds something) are fused by
+    rank, scoped to named companies, reranked where a scorer is given, and ordered by coverage.  Blank queries and k <= 0
+    give nothing.
+    """
+    queries = queries.filter(F.trim(F.coalesce("query", F.lit(""))) != "")
+    n = max(12 * k, 64)
+    kinds = chunks.select("id", "chunk_type")
+    asked = asked.join(queries.select("query_id"), "query_id", "left_semi")
+    sides = [dense(asked, vectors.join(kinds.filter(F.col("chunk_type") == kind), "id", "left_semi"), n) for kind in ("text", "table")]
+    wide = queries.select("query_id", F.col("query").alias("plain"), expand_query("query").alias("query")).filter("query <> plain").select("query_id", "query")
+    lexical = merge_rankings(bm25(queries, chunks, n), bm25(wide, chunks, n), n)
+    routes = queries.select("query_id", route("query").alias("route"))
+    fused = fuse(hybrid_dense(*sides, n), lexical, routes, kinds)
+    hits = fused.join(chunks.select("id", "source", "text", "chunk_type"), "id").join(queries, "query_id").withColumn("origin", F.col("source"))
+    scoped = scope_to_named(hits.drop("query"), queries).join(queries, "query_id")
+    order = Window.partitionBy("query_id").orderBy("rank")
+    scoped = scoped.withColumn("rank", F.row_number().over(order))
+    best = by_coverage(rerank(scoped, score, n)) if score is not None else scoped
+    return best.filter((F.col("rank") <= k) & F.lit(k > 0)).select("query_id", "id", "source", "chunk_type", "text", "fused", "rank")
+
+
+def split_kinds(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The text part and the table part of ranked hits."""
+    return hits.filter("chunk_type = 'text'"), hits.filter("chunk_type = 'table'")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import finance, scalars
-from siltstone.operators import chunks, evaluation, evidence, graph, merge, retrieval, telemetry
+from siltstone.operators import chunks, evidence, graph, merge, retrieval, telemetry
 from siltstone.streaming import jobs
 
 QUERIES: dict = {}
@@ -93,11 +93,6 @@ def t8_chunk_documents(spark, d):
     return chunks.chunk_documents(_pages(spark, d))
 
 
-@query("SELECT doc_id, CAST(n AS INTEGER) AS pos, CAST(marks[n + 1] AS INTEGER) AS n FROM (SELECT doc_id, marks, unnest(range(0, len(marks))) AS n FROM (SELECT doc_id, regexp_extract_all(text, '\\[([0-9]+)\\]', 1) AS marks FROM documents) a) b")
-def t9_citation_markers(spark, d):
-    return evaluation.markers(table(spark, d, "documents"), "text").select("doc_id", "pos", "n")
-
-
 @query("SELECT page_id, CAST(n - 1 AS INTEGER) AS pos, links[n] AS link FROM (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS n FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS links FROM pages) a) b")
 def t11_page_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("pos", "link"))
@@ -210,10 +205,9 @@ def r6_fusion(spark, d):
 @query("""SELECT item_id, CAST(count(d.doc_id) AS BIGINT) AS matched FROM benchmark b LEFT JOIN documents d ON contains(trim(regexp_replace(lower(d.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g'))) GROUP BY item_id""")
 def j13_retrieval_hits(spark, d):
     flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    items = table(spark, d, "benchmark").select("item_id", flat("text").alias("want"))
-    docs = table(spark, d, "documents").select("doc_id", flat("text").alias("low"))
-    hits = docs.join(F.broadcast(items), F.contains("low", F.col("want"))).groupBy("item_id").agg(F.count("*").alias("matched"))
-    return items.select("item_id").join(hits, "item_id", "left").fillna(0, ["matched"])
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("name"), flat("text").alias("alias"), F.lit(0).alias("pos"))
+    hits = graph.mentions(table(spark, d, "documents").select("doc_id", flat("text").alias("text")), items, "doc_id").groupBy("name").agg(F.count("*").alias("matched"))
+    return items.select("name").join(hits, "name", "left").fillna(0, ["matched"]).withColumnRenamed("name", "item_id")
 
 
 # -- conversations, graph, telemetry ------------------------------------------------------------------------------
@@ -285,10 +279,10 @@ def a18_table_contract(spark, d):
     return telemetry.table_contract(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], {"l_quantity": "double"}, {"negative": "l_quantity >= 0"})
 
 
-@query("SELECT d.doc_id, n.n_name AS name FROM documents d JOIN nation n ON contains(lower(d.text), lower(n.n_name)) UNION SELECT d.doc_id, r.r_name FROM documents d JOIN region r ON contains(lower(d.text), lower(r.r_name))")
+@query("SELECT DISTINCT d.doc_id, CAST(b.item_id AS VARCHAR) AS name FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(substr(b.text, 1, 24)))")
 def j4_j5_mentions(spark, d):
-    names = table(spark, d, "nation").select(F.col("n_name").alias("name")).unionByName(table(spark, d, "region").select(F.col("r_name").alias("name")))
-    aliases = names.distinct().select("name", F.col("name").alias("alias"), F.lit(0).alias("pos"))
+    """Documents that mention a benchmark item by its first letters."""
+    aliases = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("name"), F.substring("text", 1, 24).alias("alias"), F.col("item_id").alias("pos"))
     return graph.mentions(table(spark, d, "documents"), aliases, "doc_id").select("doc_id", "name")
 
 
