@@ -161,8 +161,9 @@ def test_toxicity(spark):
 
 def test_quoted():
     t = 'he was "an idiot here" today'
-    assert toxicity.quoted(t, t.index("idiot"), t.index("idiot") + 5)
-    assert not toxicity.quoted("what an idiot", 8, 13)
+    assert toxicity.quoted(t, t.index("idiot"), t.index("idiot") + 5, set())
+    assert not toxicity.quoted("what an idiot", 8, 13, set())
+    assert toxicity.quoted("she wrote an idiot", 13, 18, {"wrote"}) and not toxicity.quoted("she wrote\nan idiot", 13, 18, {"wrote"})
 
 
 def test_html(spark):
