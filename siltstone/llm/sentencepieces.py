@@ -207,6 +207,11 @@ class Codec:
         for lo, hi in passes(raw, STEP_BYTES):
             yield raw[lo:hi], self.encode(raw[lo:hi])
 
+    def forget(self) -> None:
+        """Empties the memories at the end of a task: workers live on, and other stages need their room."""
+        self.memory = {}
+        self.v.known.clear()
+
     def decode(self, ids) -> str:
         text = b"".join(map(self.v.text.__getitem__, ids)).decode("utf-8", "surrogatepass").replace(MARK, " ")
         return text[1:] if self.v.prefix and text.startswith(" ") else text
@@ -216,7 +221,7 @@ _codecs: dict[str, Codec] = {}
 
 
 def codec(path: str) -> Codec:
-    """One codec for each vocabulary and worker; its memory serves all tasks of the worker."""
+    """One codec for each vocabulary and worker; its memory serves one task."""
     if path not in _codecs:
         _codecs[path] = Codec(path)
     return _codecs[path]
@@ -230,8 +235,11 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") ->
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(model)
-        for batch in texts:
-            yield pd.Series([x for _, ids in c.steps(batch) for x in ids], dtype=object)
+        try:
+            for batch in texts:
+                yield pd.Series([x for _, ids in c.steps(batch) for x in ids], dtype=object)
+        finally:
+            c.forget()
 
     return docs.withColumn(ids, F.pandas_udf(run, "array<int>")(F.col(text)))
 
@@ -257,13 +265,16 @@ def round_trips(docs: DataFrame, model: str) -> DataFrame:
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(model)
-        for batch in texts:
-            rows = []
-            for own, coded in c.steps(batch):
-                for text, ids in zip(own, coded, strict=True):
-                    back = c.decode(ids.tolist())
-                    rows.append((len(ids), zlib.crc32(ids.tobytes()), zlib.crc32(back.encode("utf-8", "surrogatepass")), back == text))
-            yield pd.DataFrame(rows, columns=["n_ids", "ids_crc32", "text_crc32", "round_trip"])
+        try:
+            for batch in texts:
+                rows = []
+                for own, coded in c.steps(batch):
+                    for text, ids in zip(own, coded, strict=True):
+                        back = c.decode(ids.tolist())
+                        rows.append((len(ids), zlib.crc32(ids.tobytes()), zlib.crc32(back.encode("utf-8", "surrogatepass")), back == text))
+                yield pd.DataFrame(rows, columns=["n_ids", "ids_crc32", "text_crc32", "round_trip"])
+        finally:
+            c.forget()
 
     return bare(docs, "doc_id", "text").withColumn("coded", F.pandas_udf(run, schema)("text")).select("doc_id", "coded.*")
 
