@@ -8,12 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import islice
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
 from siltstone.functions import words as W
 from siltstone.functions.scalars import contains_any, expand_query, lexical_tokens, route
@@ -22,6 +27,8 @@ K1, B = 1.5, 0.75
 RRF = 60
 #: Query vectors in one matrix that goes to all tasks (64 doubles each: 5 MB); more queries take several passes.
 QUERY_BLOCK = 10_000
+#: Terms of queries (each with its query) that go to all tasks together; more take several passes.
+TERM_BLOCK = 500_000
 #: Scores that a task holds at a time; of a batch's rows with more queries, parts of the queries are taken in turn.
 SCORES = 1 << 21
 
@@ -38,23 +45,97 @@ def postings(chunks: DataFrame) -> DataFrame:
     return tokens.select("id", F.size("t").alias("length"), F.explode_outer("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the first k rows of each query: best scores first, then lower ids."""
+    order = np.lexsort((np.unique(ids, return_inverse=True)[1], -score, query))
+    begins = np.flatnonzero(np.diff(query[order], prepend=-1))
+    nth = np.arange(len(order)) - np.repeat(begins, np.diff(begins, append=len(order)))
+    return order[nth < k]
+
+
+def _bm25_pass(block: list, n: int, avgdl: float, chunks: DataFrame, k: int, query_type: DataType) -> DataFrame:
+    """query_id, id, score: the best k rows of each task for one block of queries, given as distinct (query_id, term, df)."""
+    names = list(dict.fromkeys(q for q, _, _ in block))
+    number = {q: i for i, q in enumerate(names)}
+    df = {t: d for _, t, d in block}
+    terms = sorted(df)
+    place = {t: i for i, t in enumerate(terms)}
+    held = np.array([df[t] for t in terms], float)
+    idf = np.log1p((n - held + 0.5) / (held + 0.5))
+    by_term = sorted((place[t], number[q]) for q, t, _ in block)
+    asking = np.array([q for _, q in by_term])  # queries of the first term, of the second, ...
+    begin = np.searchsorted([t for t, _ in by_term], np.arange(len(terms) + 1))
+    step = max(1, SCORES // len(names))
+    id_type = to_arrow_type(chunks.schema["id"].dataType)
+    name_type = to_arrow_type(query_type)
+
+    def scores(term: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+        """Queries by rows: the sums of the terms that both hold."""
+        times = begin[term + 1] - begin[term]
+        at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - begin[term], times)
+        return np.bincount(asking[at] * rows + np.repeat(row, times), np.repeat(weight, times), len(names) * rows).reshape(len(names), rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pa.array(terms, pa.string())
+        best_q, best_id, best = np.empty(0, int), np.empty(0, id_type.to_pandas_dtype()), np.empty(0)
+        least = np.zeros(len(names))  # a query's k-th score so far; what is lower can't count any more
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                lengths = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)
+                tokens = pc.list_flatten(part.column(1))
+                found = pc.index_in(tokens, vocabulary.cast(tokens.type)).to_numpy(zero_copy_only=False)
+                known = ~np.isnan(found) if found.dtype.kind == "f" else np.ones(len(found), bool)
+                pair, tf = np.unique(np.repeat(np.arange(part.num_rows), lengths)[known] * len(terms) + found[known].astype(int), return_counts=True)
+                row, term = np.divmod(pair, len(terms))
+                s = scores(term, row, idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / avgdl)), part.num_rows).round(9)
+                q, r = np.nonzero((s > 0) & (s >= least[:, None]))
+                own = part.column(0).to_numpy(zero_copy_only=False)
+                best_q, best_id, best = np.concatenate((best_q, q)), np.concatenate((best_id, own[r])), np.concatenate((best, s[q, r]))
+                keep = _best(best_q, best_id, best, k)
+                best_q, best_id, best = best_q[keep], best_id[keep], best[keep]
+                full = np.flatnonzero(np.bincount(best_q, minlength=len(names)) == k)
+                least[full] = best[np.searchsorted(best_q, full, "right") - 1]
+        yield pa.RecordBatch.from_arrays([pa.array([names[q] for q in best_q], name_type), pa.array(best_id, id_type), pa.array(best)], ["query_id", "id", "score"])
+
+    schema = StructType([StructField("query_id", query_type), chunks.schema["id"], StructField("score", DoubleType())])
+    return chunks.select("id", _tokens(chunks).alias("t")).mapInArrow(run, schema)
+
+
+def _tokens(chunks: DataFrame) -> Column:
+    return lexical_tokens(F.concat_ws(" ", "section", "text") if "section" in chunks.columns else F.col("text"))
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score, rank of the best k chunks for each query (query_id, query); ties go to the lower id.
+    """query_id, id, score (nine places), rank of the best k chunks for each query (query_id, query); ties go to the lower id.
 
-    Corpus statistics follow the chunks given.  Only terms that occur in queries leave the scan.
+    Corpus statistics follow the chunks given, in one pass over them.  Scores are summed where the chunks are read, for blocks
+    of TERM_BLOCK asked terms, and a task hands on its best k rows only: a frequent term never meets its postings in a shuffle.
+    Chunks without an id are left out of the ranking; k must be 1 at least for any row.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(lexical_tokens("query"))).alias("term"))
-    text = F.concat_ws(" ", "section", "text") if "section" in chunks.columns else F.col("text")
-    tokens = chunks.select("id", lexical_tokens(text).alias("t")).withColumn("length", F.size("t"))
-    stats = tokens.agg(F.count("*").alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("avgdl"))  # one row
-    asked = terms.select("term").distinct()
-    hits = tokens.select("id", "length", F.explode("t").alias("term")).join(asked, "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = hits.join(df, "term").join(F.broadcast(stats))
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    scores = weighed.select("term", "id", (idf * tf).alias("s")).join(terms, "term").groupBy("query_id", "id").agg(F.sum("s").alias("score"))
-    return top(scores.filter("score > 0"), k, F.round("score", 9).desc(), F.col("id"))
+    terms = queries.select("query_id", F.explode(F.array_distinct(lexical_tokens("query"))).alias("term")).filter("query_id is not null").distinct()
+    # '' is no token: its row counts all chunks and their lengths
+    counted = chunks.select(_tokens(chunks).alias("t")).select(F.size("t").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("t"))).alias("term"))
+    asked = terms.select("term").union(queries.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    stats = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("length")).join(asked, "term", "left_semi")
+    whole, query_type = F.col("term") == "", queries.schema["query_id"].dataType
+    known = terms.join(stats.filter(~whole), "term").select("query_id", "term", "df", F.lit(0).cast("long").alias("length"))
+    everything = stats.filter(whole).select(F.lit(None).cast(query_type).alias("query_id"), "term", "df", "length")
+    rows = known.unionByName(everything).orderBy(F.col("query_id").asc_nulls_first()).toLocalIterator()
+    total = next(rows, None)
+    passes, block = [], []
+    if total and k > 0:
+        n, avgdl, ranked = total["df"], max(total["length"] / total["df"], 1.0), chunks.filter("id is not null")
+        for _, own in groupby(rows, key=itemgetter("query_id")):
+            block += [(r["query_id"], r["term"], r["df"]) for r in own]
+            if len(block) >= TERM_BLOCK:
+                passes.append(_bm25_pass(block, n, avgdl, ranked, k, query_type))
+                block = []
+        if block:
+            passes.append(_bm25_pass(block, n, avgdl, ranked, k, query_type))
+    if not passes:
+        return chunks.select(F.lit(None).cast(query_type).alias("query_id"), "id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank")).limit(0)
+    return top(reduce(DataFrame.unionByName, passes), k, F.col("score").desc(), F.col("id"))
 
 
 def boolean_search(queries: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -161,3 +161,40 @@ def test_graph(spark):
     nodes, index, edges = graph.build_graph(terms, firms)
     audit = graph.graph_audit(nodes, edges, {"related_to": "related_to", "made_by": "makes"}).first()
     assert audit.passed and audit.nodes == 4
+
+
+def test_bm25_against_brute_force(spark, monkeypatch):
+    """Every block and step size gives the ranking of a plain loop; ids may be texts, and ties go to the lower one."""
+    import math
+    import random
+    import re
+    from collections import Counter
+
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    draw = lambda n: " ".join(rnd.choices(words, [1 / (i + 1) for i in range(40)], k=n))
+    docs = [(f"d{i:03}", draw(rnd.randint(0, 30))) for i in range(120)] + [("d900", None), ("d901", "")]
+    docs += [(f"e{i:03}", docs[i][1]) for i in range(20)]  # copies: ties
+    asked = [(i, draw(rnd.randint(1, 8))) for i in range(15)] + [(50, None), (51, "unheard")]
+    tokens = {i: re.findall(r"[a-z0-9]+", t or "") for i, t in docs}
+    avg = max(1.0, sum(map(len, tokens.values())) / len(docs))
+    expected = []
+    for q, text in asked:
+        scores = []
+        for i, own in tokens.items():
+            tf, s = Counter(own), 0.0
+            for term in set((text or "").split()) & tf.keys():
+                df = sum(term in t for t in tokens.values())
+                s += math.log1p((len(docs) - df + 0.5) / (df + 0.5)) * tf[term] * 2.5 / (tf[term] + 1.5 * (0.25 + 0.75 * len(own) / avg))
+            if s:
+                scores.append((-round(s, 9), i))
+        expected += [(q, i, n + 1) for n, (_, i) in enumerate(sorted(scores)[:7])]
+    chunks, queries = spark.createDataFrame(docs, "id string, text string"), spark.createDataFrame(asked, "query_id int, query string")
+    for terms, cells in ((500_000, 1 << 21), (10, 30)):
+        monkeypatch.setattr(retrieval, "TERM_BLOCK", terms)
+        monkeypatch.setattr(retrieval, "SCORES", cells)
+        rows = retrieval.bm25(queries, chunks, 7).orderBy("query_id", "rank").collect()
+        assert [(r["query_id"], r["id"], r["rank"]) for r in rows] == expected
+    assert retrieval.bm25(queries, chunks.limit(0), 7).count() == 0
+    assert retrieval.bm25(queries.limit(0), chunks, 7).count() == 0
+    assert retrieval.bm25(queries, chunks, 0).count() == 0
