@@ -115,7 +115,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(lexical_tokens("query"))).alias("term")).filter("query_id is not null").distinct()
     # '' is no token: its row counts all chunks and their lengths
-    counted = chunks.select(_tokens(chunks).alias("t")).select(F.size("t").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("t"))).alias("term"))
+    counted = chunks.select(_tokens(chunks).alias("t")).withColumn("length", F.size("t")).select("length", F.explode(F.concat(F.array(F.lit("")), F.array_distinct("t"))).alias("term"))
     asked = terms.select("term").union(queries.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
     stats = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("length")).join(asked, "term", "left_semi")
     whole, query_type = F.col("term") == "", queries.schema["query_id"].dataType
