@@ -114,14 +114,12 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     Chunks without an id are left out of the ranking; k must be 1 at least for any row.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(lexical_tokens("query"))).alias("term")).filter("query_id is not null").distinct()
-    # '' is no token: its row counts all chunks and their lengths
+    # '' is no token: its row, which no query asks for, counts all chunks and their lengths
     counted = chunks.select(_tokens(chunks).alias("t")).withColumn("length", F.size("t")).select("length", F.explode(F.concat(F.array(F.lit("")), F.array_distinct("t"))).alias("term"))
-    asked = terms.select("term").union(queries.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-    stats = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("length")).join(asked, "term", "left_semi")
-    whole, query_type = F.col("term") == "", queries.schema["query_id"].dataType
-    known = terms.join(stats.filter(~whole), "term").select("query_id", "term", "df", F.lit(0).cast("long").alias("length"))
-    everything = stats.filter(whole).select(F.lit(None).cast(query_type).alias("query_id"), "term", "df", "length")
-    rows = known.unionByName(everything).orderBy(F.col("query_id").asc_nulls_first()).toLocalIterator()
+    stats = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("length"))
+    query_type = queries.schema["query_id"].dataType
+    whole = queries.sparkSession.range(1).select(F.lit(None).cast(query_type).alias("query_id"), F.lit("").alias("term"))
+    rows = stats.join(terms.unionByName(whole), "term").orderBy(F.col("query_id").asc_nulls_first()).toLocalIterator()
     total = next(rows, None)
     passes, block = [], []
     if total and k > 0:
