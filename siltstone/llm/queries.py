@@ -12,8 +12,9 @@ from siltstone.llm.near_duplicates import op7_near_duplicates
 from siltstone.llm.sentencepieces import op1_sentencepieces
 from siltstone.llm.sharding import op10_sharding
 from siltstone.llm.toxicity import op2_toxicity
+from siltstone.llm.word_runs import op11_word_runs
 
-QUERIES = {f.__name__: f for f in (op1_sentencepieces, op2_toxicity, op3_html_text, op4_decontamination, op5_token_files, op6_language_model, op7_near_duplicates, op8_line_dedup, op9_fingerprints, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_sentencepieces, op2_toxicity, op3_html_text, op4_decontamination, op5_token_files, op6_language_model, op7_near_duplicates, op8_line_dedup, op9_fingerprints, op10_sharding, op11_word_runs)}
 
 _WORDS = r"list_filter(regexp_split_to_array(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _SHINGLES = "SELECT DISTINCT {id}, CASE WHEN len(w) >= 5 THEN array_to_string(w[i:i+4], ' ') ELSE array_to_string(w, ' ') END AS s FROM (SELECT {id}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM (SELECT {id}, " + _WORDS.format(text="text") + " AS w FROM {table} WHERE text IS NOT NULL) x WHERE len(w) > 0) y"
