@@ -6,7 +6,7 @@ Operands are read as decimal(20,6), so that a quotient keeps at least ten places
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPERAND, RESULT = "decimal(20,6)", "decimal(38,12)"
@@ -107,9 +107,40 @@ def percentage(part, whole) -> Column:
     return display(ratio(part, whole, 100)).cast("decimal(18,2)")
 
 
+#: Ranges of values in which a round of the selection counts.
+RANGES = 1024
+
+
+def nearest_rank(values: DataFrame, value: str, share: float, *keys: str, rounds: int = 2) -> DataFrame:
+    """keys, n, p: the smallest value that `share` of a group's values don't exceed (null values aside), exactly.
+
+    Each round counts the values in RANGES even ranges between a group's bounds and keeps the range that holds the rank; what is
+    left is counted by value and summed up in order.  So a group's values are never gathered, and only what the rounds leave of them is sorted.
+    """
+    rows = values.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
+    by = list(keys)
+    on = lambda a, b: a.join(b, by) if by else a.join(F.broadcast(b))  # without keys b is one row
+    size = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # a rank in whole numbers: share has six places at most
+    bounds = size.withColumns({"rank": F.greatest(F.lit(1), F.expr(f"(n * {round(share * 1_000_000)} + 999999) div 1000000")), "of": F.col("n")}).drop("n")
+    width = F.col("hi").cast("double") - F.col("lo").cast("double")
+    place = F.when(width > 0, F.least(F.lit(RANGES - 1), F.floor((F.col("v").cast("double") - F.col("lo").cast("double")) / width * RANGES))).otherwise(0)
+    for _ in range(rounds):
+        rows = on(rows, bounds).filter("v between lo and hi").select(*by, "v", "lo", "hi", "rank", "of")
+        counts = rows.groupBy(*by, place.alias("place")).agg(F.count("*").alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.first("rank").alias("rank"), F.first("of").alias("of"))
+        upto = F.sum("k").over(Window.partitionBy(*by).orderBy("place"))  # RANGES rows of a group
+        bounds = counts.withColumn("upto", upto).filter("upto >= rank and upto - k < rank").select(*by, "lo", "hi", (F.col("rank") - F.col("upto") + F.col("k")).alias("rank"), "of")
+        rows = rows.select(*by, "v")
+    left = on(rows, bounds).filter("v between lo and hi").groupBy(*by, "v").agg(F.count("*").alias("k"), F.first("rank").alias("rank"), F.first("of").alias("n"))
+    upto = F.sum("k").over(Window.partitionBy(*by).orderBy("v"))
+    return left.withColumn("upto", upto).filter("upto >= rank and upto - k < rank").select(*by, "n", F.col("v").alias("p"))
+
+
 def summary(values: DataFrame, value: str, *keys: str) -> DataFrame:
     """count, mean (two places, half-even) and nearest-rank 95th percentile of the values, per group of keys."""
     rows = values.filter(F.col(value).isNotNull())
     mean = F.bround(F.avg(F.col(value).cast("decimal(20,6)")), 2).cast("decimal(20,2)")
-    aggregates = [F.count(value).alias("n"), mean.alias("mean"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95")]
-    return rows.groupBy(*keys).agg(*aggregates) if keys else rows.agg(*aggregates)
+    ranked = nearest_rank(rows, value, 0.95, *keys).select(*keys, F.col("p").alias("p95"))
+    if keys:
+        return rows.groupBy(*keys).agg(F.count(value).alias("n"), mean.alias("mean")).join(ranked, list(keys))
+    return rows.agg(F.count(value).alias("n"), mean.alias("mean")).join(F.broadcast(ranked), F.lit(True), "left")  # one row each

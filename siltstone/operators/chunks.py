@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,21 +22,21 @@ _SENTENCE = re.compile(r"(?<=[。！？.!?\n])\s*")
 TABLE = r"((?:^|\n)\|[^\n]*\|[ \t]*\n\|[ \t]*:?-[-:| \t]*\|[ \t]*(?:\n\|[^\n]*\|[ \t]*)+)"
 
 
+def cut_sections(text: str | None) -> Iterator[tuple[int, str, str]]:
+    """pos, section, text of one page: cut at headings of level 1 to 3; empty sections are dropped."""
+    text = text or ""
+    heads = list(_HEADING.finditer(text))
+    names = [FIRST_SECTION, *(h[0].strip("# \t") for h in heads)]
+    bodies = [text[a:b].strip() for a, b in zip([0, *(h.end() for h in heads)], [*(h.start() for h in heads), len(text)], strict=True)]
+    yield from ((pos, *row) for pos, row in enumerate(row for row in zip(names, bodies, strict=True) if row[1]))
+
+
 def sections(pages: DataFrame) -> DataFrame:
     """doc_id, page, pos, section, text: pages cut at headings of level 1 to 3; empty sections are dropped."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for doc, page, text in zip(batch["doc_id"], batch["page"], batch["text"], strict=True):
-                text, name, start, pos = text or "", FIRST_SECTION, 0, 0
-                for m in [*_HEADING.finditer(text), None]:
-                    body = text[start : m.start() if m else len(text)].strip()
-                    if body:
-                        rows.append((doc, page, pos, name, body))
-                        pos += 1
-                    if m:
-                        name, start = m[0].strip("# \t"), m.end()
+            rows = [(doc, page, *row) for doc, page, text in zip(batch["doc_id"], batch["page"], batch["text"], strict=True) for row in cut_sections(text)]
             yield pd.DataFrame(rows, columns=["doc_id", "page", "pos", "section", "text"])
 
     return pages.select("doc_id", "page", "text").mapInPandas(cut, "doc_id long, page int, pos int, section string, text string")
@@ -57,35 +59,42 @@ def _paragraphs_of(text: str) -> list[str]:
     return [p.strip() for p in re.split(r"\n\s*\n", re.sub(r"\n(?=#{1,6}\s)", "\n\n", text)) if p.strip()]
 
 
+def _units(text: str, size: int, overlap: int) -> Iterator[tuple[str, bool, str | None]]:
+    """What a chunk is made of: a paragraph, or a sentence of a paragraph longer than a chunk.
+
+    With each: whether a chunk must begin here, and how one that begins here for want of room opens (None: with the end of the last chunk).
+    """
+    for paragraph in _paragraphs_of(text):
+        if len(paragraph) <= size:
+            yield paragraph, False, None
+            continue
+        own = [s for s in _SENTENCE.split(paragraph) if s.strip()]
+        place = {s: k for k, s in reversed(list(enumerate(own)))}  # the first of equal sentences
+        for k, s in enumerate(own):
+            yield s, k == 0, own[place[s] - 1][-overlap:] if place[s] and overlap else ""
+
+
 def pack(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
     """Chunks of about `size` letters, untrimmed: paragraphs are joined while they fit, long ones are cut at sentences.
 
     A new chunk begins with the last `overlap` letters of the one before; within a long paragraph with the sentence before, if
-    that is short enough (the first of equal sentences counts).  A sentence longer than a chunk is one chunk.
+    that is short enough (the first of equal sentences counts).  A sentence longer than a chunk is one chunk.  The cuts are found in
+    the running sums of the units' lengths.
     """
-    done: list[str] = []
-    current = ""
-    for paragraph in _paragraphs_of(text):
-        if len(paragraph) > size:
-            if current:
-                done.append(current)
-                current = ""
-            parts = [s for s in _SENTENCE.split(paragraph) if s.strip()]
-            for sentence in parts:
-                if current and len(current) + len(sentence) > size:
-                    done.append(current)
-                    at = parts.index(sentence)
-                    before = parts[at - 1] if at else ""
-                    current = before[-overlap:] if before and overlap else ""
-                current += sentence
-        elif current and len(current) + len(paragraph) > size:
-            done.append(current)
-            current = (current[-overlap:] if overlap else "") + paragraph
-        else:
-            current += paragraph
-    if current.strip():
-        done.append(current)
-    return done
+    units = list(_units(text, size, overlap))
+    sums = list(accumulate((len(u) for u, _, _ in units), initial=0))
+    fresh = [*(n for n, (_, must, _) in enumerate(units) if must), len(units)]
+    out: list[str] = []
+    begin, opening = 0, ""
+    while begin < len(units):
+        room = bisect_right(sums, sums[begin] + size - len(opening)) - 1
+        end = min(max(room, begin + 1), fresh[bisect_right(fresh, begin)])
+        out.append(opening + "".join(u for u, _, _ in units[begin:end]))
+        begin = end
+        if begin < len(units):
+            _, must, own = units[begin]
+            opening = "" if must else out[-1][len(out[-1]) - min(overlap, len(out[-1])) :] if own is None else own
+    return out
 
 
 def chunk_texts(rows: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

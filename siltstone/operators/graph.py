@@ -2,28 +2,73 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.functions.scalars import stable_id
 
-#: Aliases in one block that is broadcast into the substring join.
-ALIAS_BLOCK = 10_000
+#: Aliases, and letters of them, in one automaton; larger tables take several, each in a pass of its own over the texts.
+ALIAS_BLOCK, ALIAS_LETTERS = 300_000, 1 << 23
+
+#: The automaton that this worker holds, by the pass it belongs to.
+_automata: dict = {}
+
+
+def _scan(low: DataFrame, found: DataFrame, rows: list) -> DataFrame:
+    """key, by, pos of low (key, text in lower case) for the alias rows (name, alias, pos) that stand in a text, each once for a text."""
+    spark, schema = low.sparkSession, found.schema
+    forms = sorted({r[1] for r in rows})
+    names, places = ([r[k] for r in rows] for k in (0, 2))
+    owners: dict[str, list[int]] = {}
+    for n, r in enumerate(rows):
+        owners.setdefault(r[1], []).append(n)
+    shared, mark = spark.sparkContext.broadcast((forms, [owners[f] for f in forms], names, places)), uuid.uuid4().hex
+    types = [to_arrow_type(f.dataType) for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        if mark not in _automata:
+            _automata.clear()
+            built = ahocorasick.Automaton()
+            for n, form in enumerate(shared.value[0]):
+                built.add_word(form, n)
+            built.make_automaton()
+            _automata[mark] = built, pa.array(shared.value[2], types[1]), pa.array(shared.value[3], types[2])
+        built, name, pos = _automata[mark]
+        own = shared.value[1]
+        for batch in batches:
+            at, hit = [], []
+            for n, text in enumerate(batch.column(1).to_pylist()):
+                for form in {f for _, f in built.iter(text)}:
+                    hit += own[form]
+                at += [n] * (len(hit) - len(at))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), name.take(pa.array(hit, pa.int64())), pos.take(pa.array(hit, pa.int64()))], schema.names)
+
+    return low.mapInArrow(run, schema)
 
 
 def mentions(texts: DataFrame, aliases: DataFrame, key: str = "query_id", text: str = "text", by: str = "name", block: int = ALIAS_BLOCK) -> DataFrame:
     """key, name, pos: every name of which an alias stands in the text (case aside), with the lowest place of such an alias.
 
-    aliases: name, alias, pos.  Blocks of `block` aliases are broadcast in turn, so that the rows are the same at every size.
+    aliases: name, alias, pos.  All aliases are looked for at once, by an Aho-Corasick automaton that each worker builds from the
+    broadcast aliases: one pass over the texts for each `block` aliases (or ALIAS_LETTERS letters of them), whatever their number of matches.
     """
     a = aliases.select(by, F.lower("alias").alias("alias"), "pos").filter("alias <> ''")
     low = texts.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("low"))
-    blocks = max(1, -(-a.count() // block))
-    dealt = a.withColumn("block", F.pmod(F.xxhash64("alias", by), F.lit(blocks)))
-    found = [low.join(F.broadcast(dealt.filter(F.col("block") == k)), F.contains("low", F.col("alias"))).select(key, by, "pos") for k in range(blocks)]
-    return reduce(DataFrame.unionByName, found).groupBy(key, by).agg(F.min("pos").alias("pos"))
+    size = a.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("alias")), F.lit(0)).alias("letters")).first()
+    blocks = max(1, -(-size["n"] // block), -(-size["letters"] // ALIAS_LETTERS))
+    dealt = a.withColumn("block", F.pmod(F.xxhash64("alias"), F.lit(blocks)))
+    out = low.select(key).join(a.select(by, "pos").limit(0))  # names and types of the rows to come
+    dealt_rows = (dealt.filter(F.col("block") == k).drop("block").collect() for k in range(blocks))
+    found = [_scan(low, out, rows) for rows in dealt_rows if rows]
+    return reduce(DataFrame.unionByName, found or [out]).groupBy(key, by).agg(F.min("pos").alias("pos"))
 
 
 def scoped_sources(queries: DataFrame, companies: DataFrame, reports: DataFrame) -> DataFrame:

@@ -15,14 +15,21 @@ NEWEST, KNOWN, LEAST, FIRST = "newest", "known", "least", "first"
 
 
 def upsert(stored: DataFrame, changes: DataFrame, keys: list[str], policy: dict[str, str], at: str, seq: str | None = None) -> DataFrame:
-    """stored and changes hold keys, the policy's columns and `at` (time of the row); seq breaks ties within a time."""
+    """stored and changes hold keys, `at` (time of the row) and columns of the policy; seq breaks ties within a time.
+
+    A column that only one side has is kept: the other side's rows don't know it, and under NEWEST a row that lacks the column leaves
+    what is stored.  Columns that neither side has are left out.
+    """
+    both = {*stored.columns, *changes.columns}
+    lacking = {c for c in policy if c not in changes.columns}
+    policy = {c: (KNOWN if p == NEWEST and c in lacking else p) for c, p in policy.items() if c in both}
     order = F.struct(*[F.col("__side"), F.col(at), *([F.col(seq)] if seq else [])])
     rows = stored.withColumn("__side", F.lit(0)).unionByName(changes.withColumn("__side", F.lit(1)), allowMissingColumns=True)
     rule = {
         NEWEST: lambda c: F.max_by(c, order),
         KNOWN: lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)),
         LEAST: lambda c: F.min(c),
-        FIRST: lambda c: F.min_by(c, order),
+        FIRST: lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order)) if c in lacking or c not in stored.columns else F.min_by(c, order),
     }
     return rows.groupBy(*keys).agg(*[rule[p](c).alias(c) for c, p in policy.items()], F.max(at).alias(at))
 
@@ -31,17 +38,17 @@ def upsert_sources(stored: DataFrame, changes: DataFrame) -> DataFrame:
     """Sources by kind and url (title where there is none): newest title and metadata, known publisher and day, least tier."""
     changes = changes.withColumn("id", stable_id("src", "source_type", F.coalesce(F.nullif(F.col("url"), F.lit("")), F.col("title"))))
     policy = {"source_type": FIRST, "url": FIRST, "title": NEWEST, "metadata": NEWEST, "publisher": KNOWN, "published_at": KNOWN, "content_hash": KNOWN, "trust_tier": LEAST, "created_at": FIRST}
-    return upsert(stored, changes, ["id"], {c: p for c, p in policy.items() if c in changes.columns}, "retrieved_at")
+    return upsert(stored, changes, ["id"], policy, "retrieved_at")
 
 
 def upsert_documents(stored: DataFrame, changes: DataFrame) -> DataFrame:
     policy = {"id": FIRST, "name": NEWEST, "page_count": NEWEST, "status": NEWEST, "error": NEWEST, "report_period": KNOWN, "created_at": FIRST}
-    return upsert(stored, changes, ["sha256"], {c: p for c, p in policy.items() if c in changes.columns}, "updated_at")
+    return upsert(stored, changes, ["sha256"], policy, "updated_at")
 
 
 def upsert_chunks(stored: DataFrame, changes: DataFrame) -> DataFrame:
     policy = {"id": FIRST, "text": FIRST, "page": NEWEST, "section": NEWEST, "chunk_type": NEWEST, "metadata": NEWEST}
-    return upsert(stored, changes, ["document_id", "content_hash"], {c: p for c, p in policy.items() if c in changes.columns}, "created_at")
+    return upsert(stored, changes, ["document_id", "content_hash"], policy, "created_at")
 
 
 FACT_KEY = ["company", "metric", "period", "source_id", "value", "unit"]
@@ -49,7 +56,7 @@ FACT_KEY = ["company", "metric", "period", "source_id", "value", "unit"]
 
 def upsert_facts(stored: DataFrame, changes: DataFrame) -> DataFrame:
     policy = {"confidence": NEWEST, "metadata": NEWEST, "document_id": KNOWN, "currency": KNOWN, "page": KNOWN, "quote": KNOWN}
-    return upsert(stored, changes, FACT_KEY, {c: p for c, p in policy.items() if c in changes.columns}, "updated_at")
+    return upsert(stored, changes, FACT_KEY, policy, "updated_at")
 
 
 def first_snapshots(stored: DataFrame, results: DataFrame) -> DataFrame:

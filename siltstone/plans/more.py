@@ -155,26 +155,30 @@ def s6_upsert_sources(spark, d):
     return merge.upsert_sources(old.drop("o_orderkey"), new.drop("o_orderkey")).select("id", "title", "publisher", "trust_tier", "metadata")
 
 
-@query("SELECT sha256(CAST(l_partkey AS VARCHAR)) AS sha256, min(k) AS id, arg_max(l_returnflag, k) AS status, arg_max(l_linestatus, k) FILTER (l_returnflag = 'N') AS report_period FROM (SELECT *, l_orderkey * 10000000 + l_suppkey * 100 + l_linenumber AS k FROM lineitem) x GROUP BY l_partkey")
+@query("SELECT sha256(CAST(l_partkey AS VARCHAR)) AS sha256, arg_min(k, (s, k)) AS id, arg_max(l_returnflag, (s, k)) AS status, arg_max(l_linestatus, (s, k)) FILTER (l_returnflag = 'N') AS report_period FROM (SELECT *, CASE WHEN k % 100 < 4 THEN 0 ELSE 1 END AS s FROM (SELECT *, l_orderkey * 10000000 + l_suppkey * 100 + l_linenumber AS k FROM lineitem) y) x GROUP BY l_partkey")
 def s7_upsert_documents(spark, d):
     k = F.col("l_orderkey") * 10_000_000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")
     rows = table(spark, d, "lineitem").select(F.sha2(F.col("l_partkey").cast("string"), 256).alias("sha256"), k.alias("id"), F.col("l_returnflag").alias("status"), F.when(F.col("l_returnflag") == "N", F.col("l_linestatus")).alias("report_period"), k.alias("updated_at"))
-    return merge.upsert_documents(rows.limit(0), rows).select("sha256", "id", "status", "report_period")
+    old, new = rows.filter("updated_at % 100 < 4"), rows.filter("updated_at % 100 >= 4")  # the side of a row doesn't follow its time
+    return merge.upsert_documents(merge.upsert_documents(old.limit(0), old), new).select("sha256", "id", "status", "report_period")
 
 
-@query("SELECT o_custkey AS document_id, o_orderstatus AS content_hash, min(o_orderkey) AS id, arg_max(o_orderpriority, o_orderkey) AS section, arg_max(o_totalprice, o_orderkey) AS metadata FROM orders GROUP BY ALL")
+@query("SELECT o_custkey AS document_id, o_orderstatus AS content_hash, arg_min(o_orderkey, (CAST(o_orderkey % 2 AS INTEGER), o_orderkey)) AS id, 't' || (min(o_orderkey) FILTER (o_orderkey % 2 = 0)) AS text, arg_max(o_orderpriority, (CAST(o_orderkey % 2 AS INTEGER), o_orderkey)) AS section, arg_max(o_totalprice, (CAST(o_orderkey % 2 AS INTEGER), o_orderkey)) AS metadata FROM orders GROUP BY ALL")
 def s8_upsert_chunks(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderstatus").alias("content_hash"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("section"), F.col("o_totalprice").alias("metadata"), F.col("o_orderkey").alias("created_at"))
-    once = merge.upsert_chunks(rows.limit(0), rows)
-    return merge.upsert_chunks(once, once).select("document_id", "content_hash", "id", "section", "metadata")  # a second run changes nothing
+    rows = rows.withColumn("text", F.concat(F.lit("t"), "id"))
+    old, new = _halves(rows, "id")
+    once = merge.upsert_chunks(merge.upsert_chunks(old.limit(0), old), new.drop("text"))  # changes without a text leave the stored one
+    return merge.upsert_chunks(once, once).select("document_id", "content_hash", "id", "text", "section", "metadata")  # a second run changes nothing
 
 
-@query("SELECT n_name AS company, 'balance' AS metric, 'FY' AS period, c_mktsegment AS source_id, 'v' AS value, 'USD' AS unit, arg_max(c_acctbal, c_custkey) AS confidence, max(c_custkey) FILTER (c_acctbal > 0) AS page FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, c_mktsegment")
+@query("SELECT n_name AS company, 'balance' AS metric, 'FY' AS period, c_mktsegment AS source_id, 'v' AS value, 'USD' AS unit, arg_max(c_acctbal, (CAST(c_custkey % 2 AS INTEGER), c_custkey)) AS confidence, arg_max(c_custkey, (CAST(c_custkey % 2 AS INTEGER), c_custkey)) FILTER (c_acctbal > 0) AS page, 'q' || (max(c_custkey) FILTER (c_custkey % 2 = 0)) AS quote FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, c_mktsegment")
 def s9_upsert_facts(spark, d):
     rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     fixed = {"metric": "balance", "period": "FY", "value": "v", "unit": "USD"}
     rows = rows.select(F.col("n_name").alias("company"), F.col("c_mktsegment").alias("source_id"), *[F.lit(v).alias(c) for c, v in fixed.items()], F.col("c_acctbal").alias("confidence"), F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).alias("page"), F.col("c_custkey").alias("updated_at"))
-    return merge.upsert_facts(rows.limit(0), rows).select(*merge.FACT_KEY, "confidence", "page")
+    old, new = _halves(rows.withColumn("quote", F.concat(F.lit("q"), "updated_at")), "updated_at")
+    return merge.upsert_facts(merge.upsert_facts(old.limit(0), old), new.drop("quote")).select(*merge.FACT_KEY, "confidence", "page", "quote")
 
 
 @query("SELECT DISTINCT o_custkey AS cache_key, o_orderkey AS hit FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey % 3 = 0 AND o_orderdate > TIMESTAMP '1998-01-01'")
@@ -202,9 +206,10 @@ def s14_watchlist(spark, d):
 @query(f"WITH {_FACTS_SQL} SELECT company, period, 'revenue' AS metric, CAST(revenue AS DOUBLE) AS value FROM facts UNION ALL SELECT company, period, 'cost', CAST(cost AS DOUBLE) FROM facts")
 def s1_registry_rows(spark, d):
     """Facts nested as a registry holds them, and read back as rows."""
-    figures = F.create_map(F.lit("revenue"), F.col("revenue").cast("double"), F.lit("cost"), F.col("cost").cast("double"), F.lit("none"), F.lit(None).cast("double"))
-    nested = _facts(spark, d).groupBy("company").agg(F.map_from_entries(F.collect_list(F.struct("period", figures.alias("m")))).alias("quarterly"))
-    return registries.quarter_rows(nested)
+    figures = F.create_map(F.lit("revenue"), F.col("revenue").cast("string"), F.lit("cost"), F.col("cost").cast("string"), F.lit("none"), F.lit(None).cast("string"))
+    quarter = F.struct(F.lit("t").alias("source_title"), figures.alias("metrics"))
+    nested = _facts(spark, d).groupBy("company").agg(F.map_from_entries(F.collect_list(F.struct("period", quarter.alias("q")))).alias("quarterly"))
+    return registries.quarter_rows(nested).select("company", "period", "metric", F.col("value").cast("double").alias("value"))
 
 
 # -- joins --------------------------------------------------------------------------------------------------------

@@ -4,25 +4,75 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-#: Keys of these maps are data, so their types are declared instead of inferred.
-COMPANIES = "companies map<string, struct<annual: map<string, double>, quarterly: map<string, map<string, double>>, process_mix: map<string, string>>>"
+from pyspark.sql import types as T
+
+from siltstone.functions.scalars import stable_id
+
+#: Keys of the maps are data, so their types are declared instead of inferred.  Figures are read as text, which keeps their digits.
+_SOURCE = "source_title: string, source_url: string, source_publisher: string, source_published_at: string"
+COMPANY = f"""name_en: string, ticker: string, year: int, currency: string, unit: string, {_SOURCE},
+    revenue: struct<value: string, yoy_growth_pct: string, note: string>, gross_margin: struct<value: string, trend: string>, net_margin: struct<value: string, trend: string>,
+    capex: struct<value: string, intensity_pct: string, trend: string>, rd_expense: struct<value: string, rd_ratio: string>,
+    capacity: struct<utilization_rate: string, process_mix: map<string, string>>, evidence_scope: string,
+    quarterly: map<string, struct<{_SOURCE}, metrics: map<string, string>>>"""
+COMPANIES = f"companies map<string, struct<{COMPANY}>>"
+# Annual figures (metric, place, unit; None is the company's own unit) and quarterly keys (metric, unit, currency).
+ANNUAL = (
+    ("revenue", "revenue.value", None),
+    ("revenue_yoy", "revenue.yoy_growth_pct", "percent"),
+    ("gross_margin", "gross_margin.value", "percent"),
+    ("net_margin", "net_margin.value", "percent"),
+    ("capex", "capex.value", None),
+    ("capex_intensity", "capex.intensity_pct", "percent"),
+    ("rd_intensity", "rd_expense.rd_ratio", "percent"),
+    ("capacity_utilization", "capacity.utilization_rate", "percent"),
+)
+QUARTERLY = {
+    "revenue_usd_billion": ("revenue", "billion", "USD"),
+    "gross_margin_pct": ("gross_margin", "percent", None),
+    "operating_margin_pct": ("operating_margin", "percent", None),
+    "operating_profit_usd_billion": ("operating_profit", "billion", "USD"),
+    "usd_ntd_exchange_rate": ("usd_ntd_exchange_rate", "NTD_per_USD", None),
+}
 MAX_BYTES = 50 << 20
 
 
 def read_companies(spark: SparkSession, path: str) -> DataFrame:
-    """company, annual, quarterly, process_mix of the nested financial registry at path."""
+    """One row for each company of the nested financial registry at path: company and the columns of COMPANY."""
     return spark.read.schema(COMPANIES).option("multiLine", True).json(path).select(F.explode("companies").alias("company", "r")).select("company", "r.*")
 
 
 def quarter_rows(companies: DataFrame) -> DataFrame:
-    """company, period, metric, value of the quarterly figures; null figures are left out."""
-    rows = companies.select("company", F.explode("quarterly").alias("period", "metrics"))
-    return rows.select("company", "period", F.explode("metrics").alias("metric", "value")).filter("value is not null")
+    """company, period, metric (the registry's key), value (text) and source of the quarterly figures; null figures are left out."""
+    rows = companies.select("company", F.explode("quarterly").alias("period", "q")).select("company", "period", F.explode("q.metrics").alias("metric", "value"), "q.*")
+    return rows.drop("metrics").filter("value is not null")
+
+
+def annual_rows(companies: DataFrame) -> DataFrame:
+    """company, period (FY and the year), metric, value (text), unit and source of the annual figures; null ones are left out."""
+    figures = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).alias("value"), (F.coalesce("unit", F.lit("billion")) if u is None else F.lit(u)).alias("unit")) for m, c, u in ANNUAL])
+    source = [c for c in companies.columns if c.startswith("source_")]
+    rows = companies.select("company", F.concat(F.lit("FY"), "year").alias("period"), "currency", F.explode(figures).alias("f"), *source)
+    return rows.select("company", "period", "f.*", "currency", *source).filter("value is not null")
+
+
+def registry_facts(companies: DataFrame) -> DataFrame:
+    """All known figures as facts: company (its English name), metric, period, value (text as disclosed), unit, currency, source_id, trust_tier, source.
 
+    An official source by its address stands behind each period; quarterly keys that QUARTERLY doesn't name are left out.
+    """
+    named = companies.withColumn("company", F.col("name_en"))
+    known = F.create_map(*[x for key, own in QUARTERLY.items() for x in (F.lit(key), F.struct(*[F.lit(o).cast("string").alias(n) for n, o in zip(("metric", "unit", "currency"), own, strict=True)]))])
+    quarters = quarter_rows(named).withColumn("k", known[F.col("metric")]).filter("k is not null")
+    quarters = quarters.drop("metric").select("*", "k.*").drop("k")
+    rows = annual_rows(named).unionByName(quarters)
+    source = stable_id("src", F.lit("official"), F.coalesce(F.nullif(F.col("source_url"), F.lit("")), F.col("source_title")))
+    return rows.withColumns({"source_id": source, "trust_tier": F.lit(1)})
 
-def annual_rows(companies: DataFrame, year: str) -> DataFrame:
-    return companies.select("company", F.lit(f"FY{year}").alias("period"), F.explode("annual").alias("metric", "value")).filter("value is not null")
+
+def process_mix(companies: DataFrame) -> DataFrame:
+    """company, process, share (text, as disclosed)."""
+    return companies.select("company", F.explode("capacity.process_mix").alias("process", "share"))
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
@@ -33,16 +83,18 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+CASE = "id string, language string, query string, expected array<struct<id: string, source: string, page: int, contains: string>>"
+
+
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """case_id, question, expected of golden cases: an object with a list of cases, or the list itself."""
-    case = "struct<id: string, question: string, expected: array<struct<id: string, source: string, page: int, contains: string>>>"
-    rows = spark.read.schema(f"cases array<{case}>, id string").option("multiLine", True).json(path)
-    listed = rows.filter("cases is not null").select(F.explode("cases").alias("c"))
-    if listed.isEmpty():
-        listed = spark.read.schema("id string, question string, expected array<struct<id: string, source: string, page: int, contains: string>>").option("multiLine", True).json(path).select(F.struct("*").alias("c")).filter("c.id is not null")
+    """case_id, language, query, expected of golden cases: an object with a list of cases, or the list itself, in one read."""
+    case = T.StructType.fromDDL(CASE)
+    rows = spark.read.schema(T.StructType([T.StructField("cases", T.ArrayType(case)), *case])).option("multiLine", True).json(path)
+    bare = F.when(F.col("id").isNotNull() | F.col("query").isNotNull(), F.array(F.struct("id", "language", "query", "expected")))
+    listed = rows.select(F.explode(F.coalesce("cases", bare)).alias("c")).select(F.col("c.id").alias("case_id"), "c.language", "c.query", "c.expected")
     if listed.isEmpty():
         raise ValueError(f"no cases in {path}")
-    return listed.select(F.col("c.id").alias("case_id"), "c.question", "c.expected")
+    return listed
 
 
 def expectations(cases: DataFrame) -> DataFrame:
