@@ -44,11 +44,14 @@ MOST = 0.5
 # Elements by their part in a page, and names that classes, ids and roles give to what isn't the article.
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_DROPPED = {"head", "script", "style", "nav", "footer", "aside", "form", "noscript", "template", "iframe", "svg", "button", "select", "option", "dialog", "menu", "object", "canvas", "audio", "video", "textarea", "input", "label", "map", "math", "title"}
+_DROPPED = {"head", "script", "style", "nav", "footer", "aside", "noscript", "template", "iframe", "svg", "button", "select", "option", "dialog", "menu", "object", "canvas", "audio", "video", "textarea", "input", "map", "annotation", "annotation-xml", "title"}
 _BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "form", "note", "status"}
 _PURPOSES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "sponsors", "promo", "promos", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "newsletter", "subscribe", "signup", "popup", "modal", "overlay", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "comment", "comments", "replies", "disqus", "respond", "share", "sharing", "social", "related", "recommended", "recommendations", "footer", "masthead", "toolbar", "pagination", "pager", "widget", "widgets", "login", "search", "copyright", "disclaimer"}
-_PARTS = {"area", "banner", "bar", "block", "bottom", "box", "button", "buttons", "container", "form", "items", "left", "link", "links", "list", "modal", "notice", "overlay", "popup", "right", "section", "slot", "thread", "top", "unit", "widget", "wrap", "wrapper"}
+_PARTS = {"area", "author", "banner", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "count", "entry", "form", "header", "item", "items", "left", "link", "links", "list", "message", "messages", "meta", "modal", "notice", "overlay", "popup", "right", "section", "slot", "text", "thread", "title", "top", "unit", "widget", "wrap", "wrapper"}
+_LAST = {"comment", "comments", "replies", "responses", "sidebar", "nav", "navigation", "menu", "footer", "breadcrumbs", "ad", "ads", "banner", "newsletter", "cookies"}
+_OWNERS = {"article", "author", "blog", "entry", "guest", "left", "main", "page", "post", "reader", "readers", "right", "side", "site", "story", "top", "user", "users", "visitor", "visitors"}
+_NEVER = {"comment", "comments", "replies", "responses", "disqus", "respond", "sidebar", "nav", "navbar", "navigation", "menu", "footer", "breadcrumb", "breadcrumbs", "pagination", "cookie", "cookies", "consent", "gdpr"}
 _WHOLE_NAMES = {"site-header", "site-footer", "site-nav", "page-header", "page-footer", "main-nav", "main-menu", "top-nav", "top-bar", "skip-link", "side-bar", "newsletter-signup", "related-posts", "related-articles", "related-stories", "comment-respond", "adsbygoogle", "adbox", "cookie-consent"}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -59,11 +62,17 @@ _MAIN_ROLE = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
 KEPT, OPEN, OUTSIDE = 0, 1, 2
 
 
-def names_purpose(name: str) -> bool:
-    """Whether a whole class name or id names something that isn't the article: a purpose, alone or with a part of a page (`ad-slot`, `comments_list-2`)."""
+def names_purpose(name: str) -> str | None:
+    """The purpose that a whole class name or id names: alone, with a part of a page (`ad-slot`, `comments_list-2`) or with an owner (`user-comments`)."""
     name = re.sub(r"[-_]?\d+$", "", name.lower()).replace("_", "-")
-    purpose, _, part = name.partition("-")
-    return name in _WHOLE_NAMES or (purpose in _PURPOSES and (not part or part in _PARTS))
+    if name in _WHOLE_NAMES:
+        return name
+    first, *rest = name.split("-")
+    if first in _PURPOSES and all(x in _PARTS for x in rest):
+        return first
+    if rest and rest[-1] in _LAST and all(x in _OWNERS or x in _PURPOSES for x in (first, *rest[:-1])):
+        return rest[-1]
+    return None
 
 
 def _is_dropped(tag: str, attributes: str, in_article: bool) -> bool:
@@ -80,24 +89,60 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)}
 
 
-def _is_named(tag: str, attributes: str) -> bool:
-    """Whether the element goes by its name, if the page's text allows it."""
-    if not attributes.strip() or tag in ("html", "body", "main", "article"):
-        return False
+#: How an element goes that isn't dropped for what it is: by a name, by a name of what is never the article, or as a form.
+WEAK, STRONG, FORM = 0, 1, 2
+
+
+def _kind(tag: str, attributes: str) -> int | None:
+    """Whether and how the element goes by its name, if the page's text allows it."""
+    if tag == "form":
+        return FORM
+    if not attributes.strip() or tag in ("html", "body", "main"):
+        return None
     named = _attributes(attributes)
-    return named.get("role", "").lower() in _ROLES or any(names_purpose(x) for k in ("class", "id") for x in named.get(k, "").split())
+    purposes = [p for k in ("class", "id") for x in named.get(k, "").split() if (p := names_purpose(x))]
+    if any(p in _NEVER for p in purposes):
+        return STRONG
+    return WEAK if purposes or named.get("role", "").lower() in _ROLES else None
+
+
+def _gone_by_name(out: list, kinds: list[int], with_main: list[bool], with_text: list[bool]) -> set[int]:
+    """Numbers of the named elements that go.
+
+    One of a strong name stays if it holds the main part or nothing else has text; of the others one that holds most of the
+    text that is left, and a form only with paragraphs, an article or the main part in it.
+    """
+    strong = {k for k, kind in enumerate(kinds) if kind == STRONG and not with_main[k]}
+    if not any(not d and not strong.intersection(names) for d, names, *_ in out):
+        strong = set()
+    held, total = [0] * len(kinds), 0
+    for d, names, _, _, t in out:
+        if not d and not strong.intersection(names):
+            total += len(t)
+            for k in names:
+                held[k] += len(t)
+    gone = set(strong)
+    for k, kind in enumerate(kinds):
+        if kind != STRONG and (held[k] <= MOST * total or (kind == FORM and not with_text[k])):
+            gone.add(k)
+    return gone
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
-    """(part, text) of the blocks in page order: KEPT is the article, OPEN may be, OUTSIDE isn't.  Text is decoded, white space single."""
-    out: list[tuple[bool, tuple[int, ...], bool, bool, str]] = []
+    """(part, text) of the blocks in page order: KEPT is the article, OPEN may be, OUTSIDE isn't.  Text is decoded, white space single.
+
+    The article is the main part, if articles hold no more than MOST of it; else the article with most text, and others at least MOST as long.
+    """
+    out: list[tuple[bool, tuple[int, ...], int, bool, str]] = []
     buffer: list[str] = []
     stack: list[str] = []
     roles: list[bool] = []  # of the elements in stack: whether it is the main part
     named: list[tuple[int, int]] = []  # of the elements in stack that go by their names: (depth, number)
-    n_named = 0
+    kinds: list[int] = []  # of all such elements
+    with_main: list[bool] = []
+    with_text: list[bool] = []
     drop_from = None  # depth of the outermost dropped element
-    article = main = 0
+    article = main = n_articles = 0
     at, n = 0, len(page)
 
     def flush():
@@ -105,7 +150,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             text = " ".join(entities.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                out.append((drop_from is not None, tuple(k for _, k in named), article > 0, main > 0, text))
+                out.append((drop_from is not None, tuple(k for _, k in named), n_articles if article else 0, main > 0, text))
 
     def cut(depth: int):
         nonlocal drop_from, article, main
@@ -137,8 +182,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if tag == "br":
             buffer.append("\n")
             continue
-        dropped, by_name = _is_dropped(tag, m[3], article > 0), _is_named(tag, m[3])
-        if tag in _BLOCKS or dropped or by_name:
+        dropped, kind = _is_dropped(tag, m[3], article > 0), _kind(tag, m[3])
+        if tag in _BLOCKS or dropped or kind is not None:
             flush()
         if tag in _BLOCKS and "p" in stack:
             p = len(stack) - 1 - stack[::-1].index("p")
@@ -154,29 +199,36 @@ def blocks(page: str) -> list[tuple[int, str]]:
             continue
         stack.append(tag)
         roles.append(tag == "main" or bool(_MAIN_ROLE.search(m[3])))
+        n_articles += tag == "article" and not article  # an article within another is part of it
         article += tag == "article"
         main += roles[-1]
-        if by_name:
-            named.append((len(stack) - 1, n_named))
-            n_named += 1
+        for _, k in named:
+            with_main[k] |= roles[-1]
+            with_text[k] |= roles[-1] or tag in ("p", "article")
+        if kind is not None:
+            named.append((len(stack) - 1, len(kinds)))
+            kinds.append(kind)
+            with_main.append(roles[-1])
+            with_text.append(roles[-1])
         if dropped and drop_from is None:
             drop_from = len(stack) - 1
     flush()
-    # an element isn't boilerplate for its name if it holds most of the text
-    total = sum(len(t) for d, _, _, _, t in out if not d)
-    held = [0] * n_named
-    for d, names, _, _, t in out:
-        for k in names if not d else ():
-            held[k] += len(t)
-    out = [(d or any(held[k] <= MOST * total for k in names), a, m, t) for d, names, a, m, t in out]
-    has_article, has_main = any(a and not d for d, a, _, _ in out), any(m and not d for d, _, m, _ in out)
-
-    def part(d, a, m):
-        if d or (has_article and not a) or (not has_article and has_main and not m):
+    gone = _gone_by_name(out, kinds, with_main, with_text)
+    left = [(not d and gone.isdisjoint(names), a, m, t) for d, names, a, m, t in out]
+    in_article: dict[int, int] = {}
+    for ok, a, _, t in left:
+        if ok and a:
+            in_article[a] = in_article.get(a, 0) + len(t)
+    in_main = sum(len(t) for ok, _, m, t in left if ok and m)
+    by_main = in_main and sum(len(t) for ok, a, m, t in left if ok and m and a) <= MOST * in_main
+    articles = {a for a, size in in_article.items() if size >= MOST * max(in_article.values())}
+
+    def part(ok: bool, a: int, m: bool) -> int:
+        if not ok or (by_main and not m) or (not by_main and articles and a not in articles):
             return OUTSIDE
-        return KEPT if has_article or has_main else OPEN
+        return KEPT if by_main or articles else OPEN
 
-    return [(part(d, a, m), t) for d, a, m, t in out]
+    return [(part(ok, a, m), t) for ok, a, m, t in left]
 
 
 # -- suffix array -------------------------------------------------------------------------------------------------
