@@ -25,8 +25,8 @@ from siltstone.llm.common import bare, partitions, passes, stored, utf8
 END_ID = 2
 #: Ids of a shard (a longer document makes a longer shard).
 SHARD_TOKENS = 1 << 18
-#: A pair is frequent, and replaced, while it occurs so often in the shard (a rule and its length take the bytes of four symbols).
-MIN_PAIR = 16
+#: A pair is frequent, and replaced, while it occurs so often in the shard that its rule pays: a rule and its length take the bytes of four symbols.
+MIN_PAIR = 5
 #: First nonterminal; every id of a vocabulary is below it.
 FIRST_RULE = 1 << 17
 #: Words (and pieces) whose ids a worker remembers, about 200 bytes each; this bounds memory only.
@@ -221,6 +221,11 @@ class WordEncoder:
         self.words: dict[str, bytes | None] = {}
         self.pieces = _Pieces(self.tokenizer)
 
+    def forget(self) -> None:
+        """Empties the memories at the end of a task: workers live on, and other stages need their room."""
+        self.words.clear()
+        self.pieces.clear()
+
     def _library(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
@@ -296,17 +301,20 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_to
             ids, runs, held, seq = [], [], 0, seq + 1
             return row
 
-        for batch in batches:
-            texts = utf8(batch["text"])
-            for lo, hi in passes(texts, STEP_BYTES):
-                for doc, run in zip(batch["doc_id"][lo:hi], encode(texts[lo:hi]), strict=True):
-                    ids.append(doc)
-                    runs.append(run + end)
-                    held += len(run) // 4 + 1
-                    if held >= shard_tokens:
-                        yield flush()
-        if ids:
-            yield flush()
+        try:
+            for batch in batches:
+                texts = utf8(batch["text"])
+                for lo, hi in passes(texts, STEP_BYTES):
+                    for doc, run in zip(batch["doc_id"][lo:hi], encode(texts[lo:hi]), strict=True):
+                        ids.append(doc)
+                        runs.append(run + end)
+                        held += len(run) // 4 + 1
+                        if held >= shard_tokens:
+                            yield flush()
+            if ids:
+                yield flush()
+        finally:
+            word_encoder(tokenizer).forget()
 
     ordered = bare(docs, "doc_id", "text").filter("doc_id is not null").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
     return ordered.mapInPandas(build, FILE_SCHEMA)
