@@ -16,6 +16,7 @@ a moved passage: a common block of MOVED_WORDS words at least.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,24 +144,56 @@ def aligned(earlier: np.ndarray, later: np.ndarray, words: np.ndarray, least_wor
                 for j, i in pairs[begin:k]:
                     free_l[j] = free_e[i] = 0
             begin = k
-    # moved passages: common blocks of lines that are still free in both
-    places: dict[int, list[int]] = {}
-    for i, h in enumerate(earlier):
-        if free_e[i]:
-            places.setdefault(h, []).append(i)
-    for j in range(len(later)):
-        for i in places.get(later[j], ()):
-            if not free_l[j] or not free_e[i]:
-                continue
-            hi = 0
-            while j + hi < len(later) and i + hi < len(earlier) and free_l[j + hi] and free_e[i + hi] and later[j + hi] == earlier[i + hi]:
-                hi += 1
-            if total[j + hi] - total[j] >= moved_words:
-                gone[j : j + hi] = True
-                free_l[j : j + hi] = free_e[i : i + hi] = bytes(hi)
+    _moved(earlier, later, np.asarray(words), free_e, free_l, gone, moved_words)
     return gone
 
 
+def _free_windows(keys: np.ndarray, words: np.ndarray, free: bytearray, least_words: int) -> tuple[list[int], list[int], list[int]]:
+    """First line, end and hash of the windows of least_words words that begin at a line with words and hold free lines alone."""
+    total = np.concatenate(([0], np.cumsum(words)))
+    first = np.flatnonzero(words > 0)
+    end = np.searchsorted(total, total[first] + least_words)
+    first, end = first[end <= len(words)], end[end <= len(words)]
+    taken = np.concatenate(([0], np.cumsum(np.frombuffer(bytes(free), np.uint8) == 0)))
+    whole = taken[first] == taken[end]
+    first, end = first[whole], end[whole]
+    up, down = (np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(keys), x, np.uint64)))) for x in (_BASE, _INVERSE))
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(keys * up[:-1], dtype=np.uint64)))
+    return first.tolist(), end.tolist(), mix((sums[end] - sums[first]) * down[first]).tolist()
+
+
+def _moved(earlier: list[int], later: list[int], words: np.ndarray, free_e: bytearray, free_l: bytearray, gone: np.ndarray, moved_words: int) -> None:
+    """Marks moved passages: common blocks of lines that are still free in both, from the later document's begin on.
+
+    A block of so many words begins with a window of them, which the earlier document has too.  Of the places of a window there the first
+    one that is still free counts; one that isn't never will be again, so each place is looked at once.
+    """
+    own = dict(zip(later, words.tolist(), strict=True))
+    keys_e, keys_l = (np.array(x, np.int64).view(np.uint64) for x in (earlier, later))
+    for i, h in enumerate(earlier):
+        if h not in own:
+            free_e[i] = 0
+    places: dict[int, deque[tuple[int, int]]] = {}
+    for i, end, key in zip(*_free_windows(keys_e, np.array([own.get(h, 0) for h in earlier], np.int64), free_e, moved_words), strict=True):
+        places.setdefault(key, deque()).append((i, end))
+    for j, end, key in zip(*_free_windows(keys_l, words, free_l, moved_words), strict=True):
+        if key not in places or free_l.find(0, j, end) >= 0:
+            continue
+        at = places[key]
+        while at and free_e.find(0, *at[0]) >= 0:
+            at.popleft()
+        if not at or earlier[at[0][0] : at[0][1]] != later[j:end]:
+            continue
+        i = at[0][0]
+        while i and j and free_e[i - 1] and free_l[j - 1] and earlier[i - 1] == later[j - 1]:  # lines without words before it
+            i, j = i - 1, j - 1
+        n = 0
+        while j + n < len(later) and i + n < len(earlier) and free_l[j + n] and free_e[i + n] and later[j + n] == earlier[i + n]:
+            n += 1
+        gone[j : j + n] = True
+        free_l[j : j + n] = free_e[i : i + n] = bytes(n)
+
+
 def _telling(batch: pd.DataFrame, least_words: int) -> pd.DataFrame:
     """doc_id, line (a key for each window and its nth occurrence in the document), first and last line of the window."""
     sizes = batch["words"].str.len().to_numpy(np.int64)
