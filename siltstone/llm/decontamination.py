@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bare, stored
+from siltstone.llm.common import bare, fresh_names, stored
 
 WIDTH = 5
 CONTAINMENT = 0.8
@@ -74,8 +74,9 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
 
 def without_leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """The documents in which no item is contained, with their own columns."""
-    leaks = contaminated(docs, items, containment).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col("doc_id") == F.col("__leak"), "left_anti")
+    (own,) = fresh_names(docs, "leak")
+    leaks = contaminated(docs, items, containment).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(leaks, F.col("doc_id") == F.col(own), "left_anti")
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

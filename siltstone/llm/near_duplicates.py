@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bare, mix, shingle_sets, stored, utf8
+from siltstone.llm.common import bare, fresh_names, mix, shingle_sets, stored, utf8
 
 WIDTH = 5
 PERCENT = 85
@@ -246,8 +246,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def one_of_each(docs: DataFrame, percent: int) -> DataFrame:
     """The documents that stay when each component keeps its smallest doc_id, with their own columns; rows without an id stay."""
-    gone = near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    (own,) = fresh_names(docs, "gone")
+    gone = near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias(own))
+    return docs.join(gone, F.col("doc_id") == F.col(own), "left_anti")
 
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:

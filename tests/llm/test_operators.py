@@ -198,6 +198,23 @@ def test_html_keeps_articles_with_telling_names():
         assert [t for p, t in html_text.blocks(page) if p != html_text.OUTSIDE] == [long]
 
 
+def test_html_leaves_readers_and_forms_out():
+    kept = lambda page: [t for p, t in html_text.blocks(page) if p != html_text.OUTSIDE]
+    story, said, long = words(90, 30), words(91, 12), words(92, 300)
+    assert kept(f"<main><p>{story}</p><article class='comment'>{said}</article></main>") == [story]
+    assert kept(f"<div id='main'><p>{story}</p></div><article class='comment'>{said}</article>") == [story]
+    assert kept(f"<form id='f'><input><article><p>{story}</p></article></form>") == [story]
+    assert kept(f"<div><p>{story}</p></div><form><p>{said}</p><label>name</label></form>") == [story]
+    assert kept(f"<article><p>{story}</p><div class='comments'>{long}</div></article>") == [story]
+    assert kept(f"<article><p>{story}</p></article><div class='sidebar'>{long}</div>") == [story]
+    assert kept(f"<div>{story}</div><section class='comments'><article>{long}</article></section>") == [story]
+    for name in ("cookie-message", "user-comment", "comment-body", "author-comments", "reader-responses", "comment_text-12"):
+        assert kept(f"<article><p>{story}</p><div class='{name}'>{said}</div></article>") == [story]
+    assert kept("<article><p>let <math><mi>x</mi></math> be</p><p><label>a label</label></p></article>") == ["let x be", "a label"]
+    assert kept(f"<article><p>{long}</p></article><article><p>{said}</p></article>") == [long]
+    assert kept(f"<div class='sidebar'>{said}</div>") == [said]  # there is nothing else
+
+
 def _brute_runs(pages):
     """Windows of RUN words that so many distinct pages of one host hold."""
     held = {}
@@ -283,6 +300,27 @@ def test_line_dedup_against_brute_force(spark):
         assert {i: "\n".join(pool[k] for n, k in enumerate(own) if n not in gone.get(i, ())) for i, own in enumerate(held)} == want
 
 
+def test_line_dedup_of_long_documents():
+    r = np.random.default_rng(12)
+    n = 20_000
+    one, two = (r.integers(-(2**62), 2**62, 2 * n) for _ in range(2))
+    one[1::2] = two[1::2] = 7  # a blank line after each
+    filled = np.where(np.arange(2 * n) % 2, 0, 9)
+    two[1000:1020], two[30_000:30_020] = one[25_000:25_020], one[5_000:5_020]  # 90 words each; the second crosses the first
+    gone = line_dedup.aligned(one, two, filled)
+    assert set(np.flatnonzero(gone[::2]) * 2) == {*range(1000, 1020, 2), *range(30_000, 30_020, 2)}
+
+
+def test_dropped_copies_and_leaks_with_clashing_columns(spark):
+    base, item = words(95, 60), words(96, 20)
+    d = spark.createDataFrame([(1, base, "a", "b", "c"), (2, base, "a", "b", "c"), (3, f"{words(97, 9)} {item}", "a", "b", "c"), (None, base, "a", "b", "c")], "doc_id long, text string, gone string, leak string, __gone string")
+    assert sorted(map(str, (r.doc_id for r in near_duplicates.one_of_each(d, 80).collect()))) == ["1", "3", "None"]
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    left = decontamination.without_leaks(d.withColumnRenamed("__gone", "__leak"), items).collect()
+    assert sorted(map(str, (r.doc_id for r in left))) == ["1", "2", "None"] and left[0].leak == "b"
+    assert near_duplicates.one_of_each(d.limit(0), 80).count() == decontamination.without_leaks(d.limit(0), items).count() == 0
+
+
 def test_decontamination(spark):
     item = words(6, 20)
     d = spark.createDataFrame([(1, f"{words(1, 500)} {item} {words(2, 500)}"), (2, words(3, 500)), (3, " ".join(item.split()[:18])), (4, " ".join(item.split()[:8])), (5, None)], "doc_id long, text string")
