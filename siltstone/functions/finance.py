@@ -111,7 +111,7 @@ def percentage(part, whole) -> Column:
 RANGES = 1024
 
 
-def nearest_rank(values: DataFrame, value: str, share: float, *keys: str, rounds: int = 2) -> DataFrame:
+def nearest_rank(values: DataFrame, value: str, share: float, *keys: str, rounds: int = 1) -> DataFrame:
     """keys, n, p: the smallest value that `share` of a group's values don't exceed (null values aside), exactly.
 
     Each round counts the values in RANGES even ranges between a group's bounds and keeps the range that holds the rank; what is

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import finance, table_functions
 from siltstone.functions.scalars import keyed_hash
-from siltstone.plans.catalog import query, table
+from siltstone.operators import lexical_index
+from siltstone.plans.catalog import SQL, query, table
 from siltstone.sources.folders import shared_folder
 from siltstone.sources.ledger import Ledger
 from siltstone.streaming import jobs
@@ -77,3 +78,13 @@ def x7_ingested_chunks(spark, d):
         jobs.ingest_batch(pages.filter(part), number, chunks, index)
     held = index.read().groupBy("id").agg(F.count("*").alias("indexed"))
     return jobs.stored_chunks(chunks).join(held, "id", "left").select("document_id", "content_hash", "page", "indexed")
+
+
+@query(SQL["r1_bm25"])
+def r1_indexed_bm25(spark, d):
+    """r1_bm25 from a stored index."""
+    path = shared_folder(spark, "lexical-index")
+    lexical_index.build(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), path)
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    rows = lexical_index.search(spark, path, queries, 5)
+    return rows.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))

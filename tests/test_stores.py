@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import finance, scalars, table_functions
-from siltstone.operators import chunks, graph
+from siltstone.operators import chunks, graph, lexical_index, retrieval
 from siltstone.sources.ledger import Ledger
 from siltstone.streaming import jobs
 
@@ -179,3 +179,18 @@ def test_mentions_with_any_keys(spark):
     got = {tuple(x) for x in graph.mentions(texts, aliases, "k", by="n").collect()}
     assert got == {(2**60 + 1, 1, 3), (2**60 + 1, 2, None), (None, 1, 5), (None, 2, None)}
     assert graph.mentions(texts, aliases.limit(0), "k", by="n").count() == 0 and graph.mentions(texts.limit(0), aliases, "k", by="n").count() == 0
+
+
+def test_index_gives_what_bm25_gives(spark, tmp_path):
+    r = random.Random(11)
+    lexicon = [f"w{i}" for i in range(80)]
+    text = lambda n: " ".join(lexicon[min(79, int(r.expovariate(0.08)))] for _ in range(n))
+    rows = [(i, text(r.choice([3, 10, 40, 200]))) for i in range(700)] + [(900 + i, "w1 w2 w3") for i in range(200)] + [(2000, None), (2001, ""), (None, text(30))]
+    d = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    q = spark.createDataFrame([(1, "w1 w2 w2 w70"), (2, "w0"), (3, "nothing"), (4, text(20)), (None, "w1"), (5, None)], "query_id long, query string")
+    lexical_index.build(d, f"{tmp_path}/i")
+    for k, first in ((3, 1), (10, 4), (2000, 2)):
+        want = {(x.query_id, x.id): (x["rank"], round(x.score, 6)) for x in retrieval.bm25(q, d, k).collect()}
+        assert {(x.query_id, x.id): (x["rank"], round(x.score, 6)) for x in lexical_index.search(spark, f"{tmp_path}/i", q, k, first).collect()} == want and want
+    lexical_index.build(d.limit(0), f"{tmp_path}/none")
+    assert lexical_index.search(spark, f"{tmp_path}/none", q, 3).count() == 0
