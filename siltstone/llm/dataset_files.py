@@ -13,6 +13,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -20,17 +21,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import bare, partitions, passes, stored, utf8
+from siltstone.llm.common import bare, mix, partitions, passes, stored, utf8
 
 END_ID = 2
 #: Ids of a shard (a longer document makes a longer shard).
 SHARD_TOKENS = 1 << 18
-#: A pair is frequent, and replaced, while it occurs so often in the shard that its rule pays: a rule and its length take the bytes of four symbols.
-MIN_PAIR = 5
+#: A pair is frequent, and replaced, while it occurs so often in the shard.  A rule and its length take the bytes of four symbols; files are smallest at 6.
+MIN_PAIR = 6
 #: First nonterminal; every id of a vocabulary is below it.
 FIRST_RULE = 1 << 17
 #: Words (and pieces) whose ids a worker remembers, about 200 bytes each; this bounds memory only.
 CACHE_WORDS, CACHE_PIECES = 500_000, 600_000
+#: Of both, how many stay from one task to the next.
+HELD = 50_000
 #: Shards up to which their begins (some 30 bytes each) are broadcast to the readers; beyond it the payloads are shuffled to them.
 BROADCAST_SHARDS = 500_000
 #: Bytes of text that are encoded at a time.
@@ -83,9 +86,10 @@ def compress(ids: np.ndarray, min_pair: int = MIN_PAIR) -> tuple[np.ndarray, np.
             break
         slot = np.repeat(np.arange(len(kinds)), counts)
         left, right = (kinds >> np.uint64(32)).astype(np.uint32), kinds.astype(np.uint32)
-        # a symbol takes the side on which its frequent pairs weigh more
+        # a symbol takes the side on which its frequent pairs weigh more, and changes sides from round to round where they weigh alike
         symbols, side = np.unique(np.concatenate((left, right)), return_inverse=True)
-        opens = np.bincount(side[: len(left)], counts, len(symbols)) >= np.bincount(side[len(left) :], counts, len(symbols))
+        more = np.bincount(side[: len(left)], counts, len(symbols)) - np.bincount(side[len(left) :], counts, len(symbols))
+        opens = (more > 0) | ((more == 0) & (mix(symbols.astype(np.uint64) << np.uint64(32) | np.uint64(len(rules))) & np.uint64(1) == 0))
         chosen = opens[side[: len(left)]] & ~opens[side[len(left) :]]
         if not chosen.any():  # all sides agree, as for runs of one symbol: take the most frequent pair alone
             chosen[np.argmax(counts)] = True
@@ -222,9 +226,11 @@ class WordEncoder:
         self.pieces = _Pieces(self.tokenizer)
 
     def forget(self) -> None:
-        """Empties the memories at the end of a task: workers live on, and other stages need their room."""
-        self.words.clear()
+        """Leaves only the words and pieces met first, which are the frequent ones, at the end of a task: workers live on, and other stages need the room."""
+        self.words = dict(islice(self.words.items(), HELD))
+        held = list(islice(self.pieces.items(), HELD))
         self.pieces.clear()
+        self.pieces.update(held)
 
     def _library(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
