@@ -101,9 +101,9 @@ def dashboard(quarters: DataFrame, mix: DataFrame) -> DataFrame:
 
 
 def requested_quarters(requests: DataFrame, facts: DataFrame) -> DataFrame:
-    """company, period, value, status for each requested quarter: `found`, or `missing`, never the annual figure instead."""
-    rows = requests.join(facts.select("company", "period", "value"), ["company", "period"], "left")
-    return rows.withColumn("status", F.when(F.col("value").isNull(), "missing").otherwise("found"))
+    """company, period, value, status for each requested quarter: `found` (also with a null value), or `missing`, never the annual figure instead."""
+    rows = requests.join(facts.select("company", "period", "value", F.lit(True).alias("__held")), ["company", "period"], "left")
+    return rows.withColumn("status", F.when(F.col("__held"), "found").otherwise("missing")).drop("__held")
 
 
 def unknown_metrics(requested: DataFrame, registry: DataFrame) -> DataFrame:

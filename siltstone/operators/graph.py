@@ -154,6 +154,16 @@ def graph_audit(nodes: DataFrame, edges: DataFrame, inverse: dict[str, str]) ->
     return counts.join(F.broadcast(lost)).join(F.broadcast(alone)).withColumn("passed", (F.col("missing_ends") == 0) & (F.col("without_inverse") == 0))
 
 
+def graph_counts(nodes: DataFrame, edges: DataFrame, collisions: DataFrame) -> DataFrame:
+    """kind (node, edge, inverse, collision), type, n: how many there are of each type; collisions: alias keys that several nodes claim."""
+    parts = [
+        nodes.select(F.lit("node").alias("kind"), "type"),
+        edges.select(F.when(F.col("inferred_inverse"), "inverse").otherwise("edge").alias("kind"), "type"),
+        collisions.select(F.lit("collision").alias("kind"), F.lit("alias").alias("type")),
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("kind", "type").agg(F.count("*").alias("n"))
+
+
 def term_context(matched: DataFrame, neighbours_of: DataFrame, n: int = 5, each: int = 8) -> DataFrame:
     """query_id, name, related: the longest n matched terms, each with its first neighbours.  matched: query_id, name; neighbours_of: name, target, pos."""
     top = matched.withColumn("__n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.length("name").desc(), "name"))).filter(F.col("__n") <= n)
