@@ -22,6 +22,7 @@ from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
 from siltstone.functions import words as W
 from siltstone.functions.scalars import contains_any, expand_query, lexical_tokens, route
+from siltstone.sources.folders import written
 
 K1, B = 1.5, 0.75
 RRF = 60
@@ -106,11 +107,40 @@ def _tokens(chunks: DataFrame) -> Column:
     return lexical_tokens(F.concat_ws(" ", "section", "text") if "section" in chunks.columns else F.col("text"))
 
 
+def _term_blocks(rows: Iterator) -> Iterator[list]:
+    """The (query_id, term, df) of rows in the order of query_id, TERM_BLOCK or few more at a time and each query whole."""
+    block: list = []
+    for _, own in groupby(rows, key=itemgetter("query_id")):
+        block += [(r["query_id"], r["term"], r["df"]) for r in own]
+        if len(block) >= TERM_BLOCK:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def _in_turn(blocks: Iterator[list], run: Callable[[list], DataFrame]) -> list[DataFrame]:
+    """run(block) of each block.  Of several, each is run and written before the next one is fetched, so that the driver holds one block."""
+    block = next(blocks, None)
+    if block is None:
+        return []
+    one = run(block)
+    block = next(blocks, None)
+    if block is None:
+        return [one]
+    done = [written(one, "search-pass")]
+    del one
+    while block is not None:
+        done.append(written(run(block), "search-pass"))
+        block = next(blocks, None)
+    return done
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """query_id, id, score (nine places), rank of the best k chunks for each query (query_id, query); ties go to the lower id.
 
     Corpus statistics follow the chunks given, in one pass over them.  Scores are summed where the chunks are read, for blocks
-    of TERM_BLOCK asked terms, and a task hands on its best k rows only: a frequent term never meets its postings in a shuffle.
+    of TERM_BLOCK asked terms one after the other, and a task hands on its best k rows only: a frequent term never meets its postings in a shuffle.
     Chunks without an id are left out of the ranking; k must be 1 at least for any row.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(lexical_tokens("query"))).alias("term")).filter("query_id is not null").distinct()
@@ -121,16 +151,10 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     whole = queries.sparkSession.range(1).select(F.lit(None).cast(query_type).alias("query_id"), F.lit("").alias("term"))
     rows = stats.join(terms.unionByName(whole), "term").orderBy(F.col("query_id").asc_nulls_first()).toLocalIterator()
     total = next(rows, None)
-    passes, block = [], []
+    passes = []
     if total and k > 0:
         n, avgdl, ranked = total["df"], max(total["length"] / total["df"], 1.0), chunks.filter("id is not null")
-        for _, own in groupby(rows, key=itemgetter("query_id")):
-            block += [(r["query_id"], r["term"], r["df"]) for r in own]
-            if len(block) >= TERM_BLOCK:
-                passes.append(_bm25_pass(block, n, avgdl, ranked, k, query_type))
-                block = []
-        if block:
-            passes.append(_bm25_pass(block, n, avgdl, ranked, k, query_type))
+        passes = _in_turn(_term_blocks(rows), lambda block: _bm25_pass(block, n, avgdl, ranked, k, query_type))
     if not passes:
         return chunks.select(F.lit(None).cast(query_type).alias("query_id"), "id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank")).limit(0)
     return top(reduce(DataFrame.unionByName, passes), k, F.col("score").desc(), F.col("id"))
@@ -167,10 +191,10 @@ def _dense_pass(matrix: list, vectors: DataFrame, k: int) -> DataFrame:
 def dense(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """query_id, id, score, rank: exact cosine of query vectors (query_id, vector) and rows (id, vector), rounded to four places.
 
-    The vectors are read once for each QUERY_BLOCK queries.
+    The vectors are read once for each QUERY_BLOCK queries.  Rows and queries without a vector are left out.
     """
-    asked = ((r["query_id"], r["vector"]) for r in queries.select("query_id", "vector").toLocalIterator())
-    passes = [_dense_pass(block, vectors, k) for block in iter(lambda: list(islice(asked, QUERY_BLOCK)), [])]
+    asked = ((r["query_id"], r["vector"]) for r in queries.filter("vector is not null").select("query_id", "vector").toLocalIterator())
+    passes = _in_turn(iter(lambda: list(islice(asked, QUERY_BLOCK)), []), lambda block: _dense_pass(block, vectors.filter("vector is not null"), k))
     if not passes:
         return vectors.select(F.lit(None).cast("long").alias("query_id"), "id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank")).limit(0)
     return top(reduce(DataFrame.unionByName, passes), k, F.col("score").desc(), F.col("id"))

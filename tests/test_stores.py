@@ -7,11 +7,12 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import finance, scalars, table_functions
-from siltstone.operators import chunks, graph, lexical_index, retrieval
+from siltstone.operators import chunks, dense_index, graph, lexical_index, retrieval
 from siltstone.sources.ledger import Ledger
 from siltstone.streaming import jobs
 
@@ -194,3 +195,35 @@ def test_index_gives_what_bm25_gives(spark, tmp_path):
         assert {(x.query_id, x.id): (x["rank"], round(x.score, 6)) for x in lexical_index.search(spark, f"{tmp_path}/i", q, k, first).collect()} == want and want
     lexical_index.build(d.limit(0), f"{tmp_path}/none")
     assert lexical_index.search(spark, f"{tmp_path}/none", q, 3).count() == 0
+
+
+def test_dense_index_gives_what_dense_gives(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    spots = rng.normal(size=(40, 16))
+    rows = np.concatenate([np.repeat(spots, 50, 0) + rng.normal(scale=0.05, size=(2000, 16)), np.repeat(spots[:1], 1000, 0), np.zeros((3, 16))])
+    asked = np.concatenate([spots[:20] + rng.normal(scale=0.05, size=(20, 16)), rng.normal(size=(5, 16)), -spots[:1], np.zeros((1, 16))])
+    frame = lambda name, values: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], f"{name} long, vector array<double>")
+    v, q = frame("id", rows), frame("query_id", asked)
+    dense_index.build(v.union(spark.sql("SELECT 99999L, CAST(NULL AS array<double>)")), f"{tmp_path}/i", cell_bytes=16 * 8 * 16)
+    cells = spark.read.parquet(f"{tmp_path}/i/cells")
+    assert cells.agg(F.sum("n")).first()[0] == len(rows) and cells.agg(F.max("n")).first()[0] <= 16
+    get = lambda found: {(r.query_id, r.id): (r["rank"], r.score) for r in found.collect()}
+    for k in (1, 7):
+        found, read = dense_index._search(spark, f"{tmp_path}/i", q, k)
+        assert get(found) == get(retrieval.dense(q, v, k)) and found.count() == k * len(asked)
+    near = read.filter("query_id between 1 and 19").count()  # queries beside a spot of few rows
+    assert near < 0.2 * 19 * cells.count(), (near, 19 * cells.count())
+    assert get(dense_index.search(spark, f"{tmp_path}/i", q.filter("query_id = 2"), 5000)) == get(retrieval.dense(q.filter("query_id = 2"), v, 5000))
+    dense_index.build(v.limit(0), f"{tmp_path}/none")
+    assert dense_index.search(spark, f"{tmp_path}/none", q, 3).count() == 0
+
+
+def test_passes_one_after_the_other(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(50)], "id long, vector array<double>")
+    q = spark.createDataFrame([(i, [1.0, float(i), 0.5], f"w{i} w{i + 1}") for i in range(9)], "query_id long, vector array<double>, query string")
+    t = spark.createDataFrame([(i, f"w{i % 8} w{i % 5} other") for i in range(40)], "id long, text string")
+    rows = lambda: ({tuple(r) for r in retrieval.dense(q, v, 4).collect()}, {tuple(r) for r in retrieval.bm25(q, t, 4).collect()})
+    want = rows()
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(retrieval, "TERM_BLOCK", 5)
+    assert rows() == want and all(want)
