@@ -8,7 +8,7 @@ frozen before scoring, so a token's probability within a class is a function of
 training documents; the text's own is never looked at: a text's probability mixes the classes anew over each CHUNK tokens.
 
 Counts follow from the distinct tokens, so the corpus is read once for them.  The contexts that share class and two bytes
-are weighted together (at most 2**24 byte counts for each class), what lies above them with group-bys and joins.  Nothing that
+are weighted together, one of the eight bits after the other, what lies above them with group-bys and joins.  Nothing that
 grows with the vocabulary is broadcast: blocks of documents (and blocks of the vocabulary) ask for the distinct tokens
 (and contexts) that they hold.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import bare, is_held, partitions, stored, utf8, with_blocks
 
-DEPTH = 4
+DEPTH = 5
 #: Symbols (class, two bytes) of the contexts at which the tree is cut in two.
 CUT = 3
 #: Classes at most; the rarer languages share the last one.
@@ -34,7 +34,7 @@ CLASSES = 12
 CHUNK, SHARE = 16, 0.02
 #: Bytes of text in one block of documents, and tokens in one block of the vocabulary.
 BLOCK_BYTES = 20 << 20
-BLOCK_TOKENS = 100_000
+BLOCK_TOKENS = 50_000
 _LN10 = float(np.log(10))
 
 
@@ -79,20 +79,20 @@ def _bytes_and_contexts(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Levels:
-    """The tree levels from the leaves up to depth CUT for the grams given, of all classes."""
+    """The tree levels from the leaves up to depth CUT for the k-th bit of the grams given, of all classes.
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+    Nodes of different bits share nothing, so a bucket's bits are weighted in turn, in an eighth of the memory.
+    """
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, k: int):
         """grams: context << 8 | byte.  counts: a column for each class."""
         classes = counts.shape[1]
         keys = np.repeat(grams, classes)
         contexts = (keys >> 8) << 8 | np.tile(np.arange(classes), len(grams))
-        k = np.arange(8)
-        byte = (keys & 255)[:, None]
-        node = (1 << k) | (byte >> (8 - k))
-        self.bit = ((byte >> (7 - k)) & 1).ravel()
-        n = np.repeat(counts.ravel().astype(float), 8)
-        rows = (contexts[:, None] << 8 | node).ravel()
-        self.keys, self.at = np.unique(rows, return_inverse=True)
+        byte = keys & 255
+        self.bit = (byte >> (7 - k)) & 1
+        n = counts.ravel().astype(float)
+        self.keys, self.at = np.unique(contexts << 8 | 1 << k | byte >> (8 - k), return_inverse=True)
         zeros, ones = (np.bincount(self.at, n * (self.bit == b), len(self.keys)) for b in (0, 1))
         log_pw = log_kt(zeros, ones)
         #: from the leaves: (weight of stopping here, estimate, place of each node's parent)
@@ -109,13 +109,13 @@ class _Levels:
         self.top, self.zeros, self.ones, self.log_pw = keys, zeros, ones, log_pw
 
     def log_p(self, p: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """ln probability of each gram in each class; p and left are what the levels above CUT give the top nodes."""
+        """ln probability of the bit of each gram in each class; p and left are what the levels above CUT give the top nodes."""
         for (weight, kt), place in zip(reversed(self.levels), [None, *reversed(self.parents)], strict=True):
             if place is not None:
                 p, left = p[place], left[place]
             p, left = p + left * weight * kt, left * (1 - weight)
         p = p[self.at]
-        return np.log(np.where(self.bit == 1, p, 1 - p)).reshape(-1, 8).sum(1)
+        return np.log(np.where(self.bit == 1, p, 1 - p))
 
 
 def _weigh(zeros: pd.Series, ones: pd.Series, below: pd.Series) -> pd.DataFrame:
@@ -132,11 +132,14 @@ def context_tree(grams: DataFrame, classes: int) -> DataFrame:
     columns = [f"c{k}" for k in range(classes)]
     parts = partitions(grams.sparkSession)
     # contexts of equal last two bytes together
-    dealt = grams.withColumn("bucket", F.pmod(F.xxhash64(F.shiftright("gram", 8 + 8).bitwiseAND(F.lit(0xFFFF).cast("long"))), F.lit(parts)).cast("int"))
+    dealt = grams.withColumn("bucket", F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF).cast("long"))), F.lit(parts)).cast("int"))
 
     def up(key, batch: pd.DataFrame) -> pd.DataFrame:
-        x = _Levels(batch["gram"].to_numpy(np.int64), batch[columns].to_numpy(np.int64))
-        return pd.DataFrame({"bucket": np.full(len(x.top), key[0], np.int32), "context": x.top >> 8, "node": x.top & 255, "zeros": x.zeros, "ones": x.ones, "log_pw": x.log_pw})
+        tops = []
+        for k in range(8):
+            x = _Levels(batch["gram"].to_numpy(np.int64), batch[columns].to_numpy(np.int64), k)
+            tops.append(pd.DataFrame({"bucket": np.full(len(x.top), key[0], np.int32), "context": x.top >> 8, "node": x.top & 255, "zeros": x.zeros, "ones": x.ones, "log_pw": x.log_pw}))
+        return pd.concat(tops)
 
     top = stored(dealt.groupBy("bucket").applyInPandas(up, "bucket int, context long, node int, zeros double, ones double, log_pw double"), "tree-top")
     weigh = F.pandas_udf(_weigh, "log_pw double, weight double, kt double")
@@ -157,9 +160,15 @@ def context_tree(grams: DataFrame, classes: int) -> DataFrame:
     def finish(batch: pd.DataFrame, tops: pd.DataFrame) -> pd.DataFrame:
         if not len(batch):
             return pd.DataFrame({"gram": [], "log_p": []})
-        x = _Levels(batch["gram"].to_numpy(np.int64), batch[columns].to_numpy(np.int64))
-        order = np.argsort(tops["context"].to_numpy(np.int64) << 8 | tops["node"].to_numpy(np.int64))
-        return pd.DataFrame({"gram": batch["gram"], "log_p": list(x.log_p(tops["p"].to_numpy(float)[order], tops["left"].to_numpy(float)[order]).reshape(-1, classes))})
+        grams, counts = batch["gram"].to_numpy(np.int64), batch[columns].to_numpy(np.int64)
+        keys, p, left = tops["context"].to_numpy(np.int64) << 8 | tops["node"].to_numpy(np.int64), tops["p"].to_numpy(float), tops["left"].to_numpy(float)
+        order = np.argsort(keys)
+        keys, p, left = keys[order], p[order], left[order]
+        total = np.zeros(len(grams) * classes)
+        for k in range(8):
+            own = (keys & 255) >> k == 1
+            total += _Levels(grams, counts, k).log_p(p[own], left[own])
+        return pd.DataFrame({"gram": batch["gram"], "log_p": list(total.reshape(-1, classes))})
 
     return dealt.groupBy("bucket").cogroup(above.groupBy("bucket")).applyInPandas(finish, "gram long, log_p array<double>")
 
@@ -215,8 +224,10 @@ def score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFram
 
     docs: doc_id, text, lang.  A null or empty text is the end alone; a null lang is a class of its own.  Without training
     rows V and N are 0 and the base of any token is 1.  Repeated rows count each.  An empty table gives an empty result.
+    Where the condition is null (a null doc_id), the row is held out.  bits_per_byte: the model's code length of a text over
+    the bytes that it models, those of the lower-cased tokens and one after each.
     """
-    rows = with_blocks(bare(docs, "doc_id", "text", "lang").withColumn("held_out", held_out), block_bytes)
+    rows = with_blocks(bare(docs, "doc_id", "text", "lang").withColumn("held_out", F.coalesce(held_out, F.lit(True))), block_bytes)
     names = _classes(rows)
     rows = rows.withColumn("packed", F.pandas_udf(_packed, "binary")("text")).drop("text")
     classes = len(names)
@@ -264,9 +275,9 @@ def score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFram
     answers = asked.select("block", "k", "token").join(scored, "token").select("block", "k", "n", "log_p")
 
     def finish(batch: pd.DataFrame, tokens: pd.DataFrame) -> pd.DataFrame:
-        out = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        out = ["n_tokens", "n_known", "train_tokens", "base_score"]
         if not len(batch):
-            return pd.DataFrame({c: [] for c in ["doc_id", "held_out", *out]})
+            return pd.DataFrame({c: [] for c in ["doc_id", "held_out", *out, "score", "bits_per_byte"]})
         # texts are split twice, as a block's words at once would take many times the space of its texts
         texts = unpacked(batch["packed"])
         distinct: set[bytes] = set()
@@ -278,16 +289,18 @@ def score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFram
         counts = tokens["n"].to_numpy(np.int64)[order]
         base = np.log10((counts + 1) / (n_train + 1 * (v_train + 1)))
         model = np.frombuffer(b"".join(tokens["log_p"]), "<f4").reshape(-1, classes)[order].astype(float)
-        out_rows, chunks = [], []
+        size = np.fromiter((len(t) + 1 for t in at_token), np.int64)
+        out_rows, chunks, modelled = [], [], []
         for text in texts:
             at = np.fromiter(map(at_token.__getitem__, tokens_of(text)), np.int64)
             out_rows.append((len(at), int((counts[at] > 0).sum()), n_train, float(base[at].sum())))
             chunks.append(np.add.reduceat(model[at], np.arange(0, len(at), CHUNK)))
+            modelled.append(size[at].sum())
         total = mixed(np.concatenate(chunks), np.array([len(c) for c in chunks]), prior)
-        table = pd.DataFrame(out_rows, columns=out[:-1])
-        return pd.concat([batch[["doc_id", "held_out"]].reset_index(drop=True), table, pd.Series(total / _LN10, name="score")], axis=1)
+        table = pd.DataFrame(out_rows, columns=out).assign(score=total / _LN10, bits_per_byte=-total / np.log(2) / np.array(modelled))
+        return pd.concat([batch[["doc_id", "held_out"]].reset_index(drop=True), table], axis=1)
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, schema)
 
 

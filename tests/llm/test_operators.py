@@ -1,9 +1,13 @@
 """Corpus operators on small tables, against brute force, exact round trips and planted cases."""
 
+import functools
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import common, dataset_files, decontamination, fingerprints, html_text, language_model, line_dedup, near_duplicates, sentencepieces, sharding, toxicity
 
@@ -342,6 +346,67 @@ def test_language_model(docs):
     assert {r.train_tokens for r in rows} == {sum(len((r.text or "").lower().split()) + 1 for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 7 != 2)}
 
 
+def test_language_model_counts_and_base(spark, docs):
+    """All counts and the base against a plain recount: nulls, repeated rows, a null id, a clashing column, a long text."""
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()] + [(i, words(i, 40) + f" Only{i}", None if i % 2 else "de") for i in range(11, 40)] + [(11, "twice"), (11, "twice"), (None, "nobody learns this"), (60, words(60, 6000))]
+    rows = [(*r, "en")[:3] for r in rows]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held_out", F.lit("clash"))
+    is_held = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = lambda t: [*(t or "").lower().split(), ""]
+    learnt = Counter(t for i, text, _ in rows if not is_held(i) for t in tokens(text))
+    n, v = sum(learnt.values()), len(learnt)
+    want = sorted((i or -1, is_held(i), len(tokens(t)), sum(learnt[x] > 0 for x in tokens(t)), n, round(sum(math.log10((learnt[x] + 1) / (n + v + 1)) for x in tokens(t)), 6)) for i, t, _ in rows)
+    got = language_model.score(frame, common.is_held("doc_id", 7, 2), block_bytes=4000).collect()
+    assert sorted((r.doc_id or -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    assert any(is_held(i) for i, _, _ in rows if i) and all(r.bits_per_byte > 0 for r in got)
+    by_id = {r.doc_id: r for r in got}
+    assert math.isclose(by_id[60].bits_per_byte, -by_id[60].score * math.log2(10) / sum(len(t.encode()) + 1 for t in tokens(rows[-1][1])))
+    assert language_model.score(frame.limit(0), common.is_held("doc_id", 7, 2)).count() == 0
+
+
+def test_tree_against_recursion(spark):
+    """Context-tree weighting by recursion over all contexts; the result doesn't follow how contexts are dealt."""
+    rng, depth = np.random.default_rng(5), language_model.DEPTH
+    grams = sorted({sum(int(x) << 8 * j for j, x in enumerate(rng.choice([97, 98, 195], depth + 1))) for _ in range(150)})
+    counts = rng.integers(0, 4, (len(grams), 2))
+    held: dict = {}
+    for g, own in zip(grams, counts, strict=True):
+        for c, n in enumerate(own):
+            symbols = (c, *((g >> 8 * j) & 255 for j in range(1, depth + 1)))
+            for k in range(8):
+                for d in range(depth + 2):
+                    at = held.setdefault((symbols[:d], 1 << k | (g & 255) >> (8 - k)), [0, 0, set()])
+                    at[(g >> (7 - k)) & 1] += int(n)
+                    if d <= depth:
+                        at[2].add(symbols[: d + 1])
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    @functools.cache
+    def weighted(context, node):
+        a, b, children = held[context, node]
+        if len(context) == depth + 1:
+            return kt(a, b), -math.inf
+        below = sum(float(np.logaddexp(*weighted(x, node)) - math.log(2)) if len(x) <= depth else weighted(x, node)[0] for x in children)
+        return kt(a, b), below
+
+    def one(symbols, node):
+        left, p = 1.0, 0.0
+        for d in range(depth + 2):
+            a, b, _ = held[symbols[:d], node]
+            pe, below = weighted(symbols[:d], node)
+            w = 1 / (1 + math.exp(below - pe)) if d <= depth else 1.0
+            p, left = p + left * w * (b + 0.5) / (a + b + 1), left * (1 - w)
+        return p
+
+    frame = spark.createDataFrame([(g, *map(int, c)) for g, c in zip(grams, counts, strict=True)], "gram long, c0 long, c1 long")
+    got = {r.gram: r.log_p for r in language_model.context_tree(frame, 2).collect()}
+    for g in grams:
+        for c in range(2):
+            symbols = (c, *((g >> 8 * j) & 255 for j in range(1, depth + 1)))
+            ps = [(one(symbols, 1 << k | (g & 255) >> (8 - k)), (g >> (7 - k)) & 1) for k in range(8)]
+            assert math.isclose(got[g][c], sum(math.log(p if bit else 1 - p) for p, bit in ps), rel_tol=1e-7)
+
+
 def test_tree_is_a_distribution(spark):
     """The probabilities of all bytes after a context sum to one."""
     grams = np.arange(256, dtype=np.int64) | (int.from_bytes(b"abcd", "big") << 8)
