@@ -51,7 +51,7 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     for k in range(8):
         shift = shift * (x + k)
     y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) - np.log(shift)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
