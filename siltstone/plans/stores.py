@@ -90,10 +90,9 @@ def r1_indexed_bm25(spark, d):
     return rows.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
 
 
-@query("""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.id AS query_id, v.id AS id, coalesce(round(list_cosine_similarity(q.e, v.e), 4), 0.0) AS score FROM v AS q CROSS JOIN v WHERE q.id % 100 = 0)
-SELECT query_id, id, score + 0.0 AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s) x WHERE rank <= 10""")
+@query(SQL["r3_dense_topk"])
 def r3_indexed_dense(spark, d):
-    """The best ten rows for every vector whose id is divisible by 100, from a stored index."""
+    """r3_dense_topk from a stored index."""
     path = shared_folder(spark, "dense-index")
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     dense_index.build(vectors, path)
