@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import short_hash
@@ -51,7 +51,7 @@ def paragraphs(texts: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def sentences(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, pos, sentence: cuts after 。！？.!? or a line end, spaces after them go; blank parts are dropped."""
-    parts = F.filter(F.split(F.coalesce("text", F.lit("")), r"(?<=[。！？.!?\n])\s*"), lambda p: F.trim(p) != "")
+    parts = F.filter(F.split(F.coalesce("text", F.lit("")), r"(?<=[。！？.!?\n])\s*"), lambda p: p.rlike(r"(?U)\S"))
     return texts.select(key, F.posexplode(parts).alias("pos", "sentence"))
 
 
@@ -134,6 +134,22 @@ def chunk_tables(found: DataFrame) -> DataFrame:
     return found.select(short_hash("doc_id", "page", "table_index", text).alias("id"), "doc_id", "page", text.alias("text"), F.lit("table").alias("chunk_type"), "rows", "cols")
 
 
+def numbered_table_chunks(found: DataFrame) -> DataFrame:
+    """One chunk for each table (doc_id, page, table_index, markdown, rows, cols; source and bbox if known), never cut, with its metadata.
+
+    Tables are numbered through their document, and the text begins with number, source and page.  Only rows of tables are shuffled.
+    """
+    number = (F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "table_index")) - 1).alias("number")
+    source = (F.col("source") if "source" in found.columns else F.col("doc_id").cast("string")).alias("source")
+    bbox = (F.col("bbox") if "bbox" in found.columns else F.lit(None).cast("array<double>")).alias("bbox")
+    rows = found.select("doc_id", "page", "table_index", number, source, bbox, "markdown", "rows", "cols")
+    # fixed value: the form of the prefix
+    text = F.concat(F.format_string("[表格 %d] 来源: %s, 第 %d 页\n", F.col("number") + 1, "source", "page"), F.col("markdown"))
+    place = F.concat(F.col("source"), F.lit("_table_"), F.col("page").cast("string"), F.lit("_"), F.col("number").cast("string"))
+    metadata = F.struct(F.col("number").alias("table_index"), "rows", "cols", "bbox").alias("metadata")
+    return rows.select(short_hash(place).alias("id"), "doc_id", "page", F.lit("表格").alias("section"), text.alias("text"), F.lit("table").alias("chunk_type"), F.length(text).alias("char_count"), metadata)
+
+
 def chunk_documents(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Text chunks of all sections and table chunks together, without a shuffle.
 

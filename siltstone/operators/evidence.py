@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.finance import growth, ratio
-from siltstone.functions.scalars import canonical_value, is_time_sensitive, percent_is_rough, percent_value, source_date, stable_id
+from siltstone.functions.scalars import canonical_value, hostname, is_time_sensitive, percent_is_rough, percent_value, safe_url, source_date, stable_id, trust_tier
 
 STALE_DAYS = 550
 
@@ -88,16 +88,21 @@ def facts_of_records(quarters: DataFrame, metrics: DataFrame) -> DataFrame:
     return rows.select("company", "metric", "period", F.col("value").cast("string").alias("value"), "unit", source.alias("source_id"), F.lit(1).alias("trust_tier"))
 
 
-def dashboard(quarters: DataFrame, mix: DataFrame) -> DataFrame:
+def dashboard(quarters: DataFrame, mix: DataFrame, annual: DataFrame | None = None) -> DataFrame:
     """company, series, mix: revenue and margin of the periods that all companies have, and the process mix with rough shares marked.
 
-    quarters: company, period, metric, value.  mix: company, process, share (text).
+    quarters: company, period, metric, value.  mix: company, process, share (text).  annual: company, capex_intensity, source_title,
+    source_publisher, source_published_at, source_url; with it come capex_intensity and annual_source, whose link is empty unless safe.
     """
     shown = quarters.join(common_periods(quarters), "period", "left_semi")
     wide = shown.groupBy("company", "period").pivot("metric", ["revenue", "gross_margin"]).agg(F.first("value"))
     series = wide.groupBy("company").agg(F.sort_array(F.collect_list(F.struct("period", "revenue", "gross_margin"))).alias("series"))
     shares = mix.groupBy("company").agg(F.sort_array(F.collect_list(F.struct("process", percent_value("share").alias("percent"), percent_is_rough("share").alias("rough")))).alias("mix"))
-    return series.join(shares, "company", "left")
+    out = series.join(shares, "company", "left")
+    if annual is None:
+        return out
+    source = F.struct(F.col("source_title").alias("title"), F.col("source_publisher").alias("publisher"), F.col("source_published_at").alias("published_at"), safe_url("source_url").alias("url"))
+    return out.join(annual.select("company", "capex_intensity", source.alias("annual_source")), "company", "left")
 
 
 def requested_quarters(requests: DataFrame, facts: DataFrame) -> DataFrame:
@@ -106,6 +111,26 @@ def requested_quarters(requests: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("__held"), "found").otherwise("missing")).drop("__held")
 
 
+def context_periods(requests: DataFrame, quarters: DataFrame, years: DataFrame, max_companies: int = 2) -> DataFrame:
+    """request_id, company, period, status of the figures that a request gets.
+
+    requests: request_id, companies (array, in the order of mention), periods (array; null or empty: none named).  quarters: company,
+    period (one row each).  years: company, year.  Only the first max_companies count, and those that years doesn't hold get nothing.
+
+    `found` and `missing` are quarters; `annual` is the year's row, served only where no asked quarter exists and either its own FY
+    period or nothing was asked for.  So annual figures never stand for a missing quarter.
+    """
+    named = requests.select("request_id", F.slice("companies", 1, max_companies).alias("c"), F.coalesce("periods", F.array().cast("array<string>")).alias("asked"))
+    rows = named.select("request_id", F.explode("c").alias("company"), "asked").join(years.select("company", F.concat(F.lit("FY"), F.col("year").cast("string")).alias("fy")), "company")
+    cells = rows.select("request_id", "company", "fy", "asked", F.explode_outer("asked").alias("period"))
+    cells = cells.join(quarters.select("company", "period", F.lit(True).alias("held")), ["company", "period"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    any_held = F.max("held").over(Window.partitionBy("request_id", "company"))
+    whole_year = ~F.col("any") & ((F.size("asked") == 0) | F.array_contains("asked", F.col("fy")))
+    cells = cells.withColumn("any", any_held).withColumn("year_only", whole_year)
+    own = cells.filter("not year_only").select("request_id", "company", "period", F.when(F.col("held"), "found").otherwise("missing").alias("status"))
+    return own.unionByName(cells.filter("year_only").select("request_id", "company", F.col("fy").alias("period"), F.lit("annual").alias("status")).distinct())
+
+
 def unknown_metrics(requested: DataFrame, registry: DataFrame) -> DataFrame:
     return requested.join(registry.select("metric"), "metric", "left_anti")
 
@@ -131,9 +156,45 @@ def timeline(series: DataFrame, watched: DataFrame, limit: int = 12) -> DataFram
     return rows.orderBy(F.desc("period"), F.desc("company")).limit(limit)
 
 
+def watchlist_events(points: DataFrame, watched: DataFrame, lang: str = "zh", limit: int = 12) -> DataFrame:
+    """The newest disclosures of the watched companies, with title and summary in Chinese or English.
+
+    points: company, name_en, period, revenue (billion USD), gross_margin (per cent), published_at, source_title, source_url.
+    Sorted by date, then company, both descending.  Spark takes the first `limit` of each task before the last sort.
+    """
+    figures = ("revenue", "gross_margin")
+    if lang == "en":
+        title, summary = F.format_string("%s %s results", "name_en", "period"), F.format_string("Revenue USD %.2fbn · gross margin %.1f%%", *figures)
+    else:
+        title, summary = F.format_string("%s %s 业绩", "company", "period"), F.format_string("营收 %.2f 十亿美元 · 毛利率 %.1f%%", *figures)
+    rows = points.join(watched.select("company"), "company", "left_semi").withColumns({"title": title, "summary": summary, "source_url": safe_url("source_url")})
+    out = rows.select("company", "name_en", "period", F.col("published_at").alias("date"), "title", "summary", "source_title", "source_url")
+    return out.orderBy(F.desc("date"), F.desc("company"), F.desc("period")).limit(limit)
+
+
 # -- web results --------------------------------------------------------------------------------------------------
 
 
+# The markup of a result page.
+RESULT = r'(?s)class="result results_links.*?".*?</div>\s*</div>'
+RESULT_TITLE = r'(?s)class="result__title"[^>]*>.*?<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+RESULT_SNIPPET = r'(?s)class="result__snippet"[^>]*>(.*?)</a>'
+
+
+def search_results(pages: DataFrame, key: str = "page_id", max_results: int = 5) -> DataFrame:
+    """key, pos, title, url, snippet, publisher, published_at, trust_tier of the results on result pages (key, html).
+
+    Only the first max_results blocks of a page are looked at; blocks without a title or a link are left out, and pos counts what is left.
+    """
+    blocks = F.slice(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(RESULT), F.lit(0)), 1, max_results)
+    clean = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]+>", ""), r"^\s+|\s+$", "")
+    plain = lambda c: F.replace(F.replace(c, F.lit("&#x27;"), F.lit("'")), F.lit("&amp;"), F.lit("&"))
+    title = lambda b: F.replace(plain(clean(F.regexp_extract(b, RESULT_TITLE, 2))), F.lit("&quot;"), F.lit('"'))
+    found = F.transform(blocks, lambda b: F.struct(title(b).alias("title"), F.trim(F.regexp_extract(b, RESULT_TITLE, 1)).alias("url"), plain(clean(F.regexp_extract(b, RESULT_SNIPPET, 1))).alias("snippet")))
+    rows = pages.select(key, F.posexplode(F.filter(found, lambda r: (r.title != "") & (r.url != ""))).alias("pos", "r")).select(key, "pos", "r.*")
+    return rows.withColumns({"publisher": hostname("url"), "published_at": F.lit(""), "trust_tier": trust_tier("url")})
+
+
 def assess_results(results: DataFrame, as_of, stale_after: int = STALE_DAYS) -> DataFrame:
     """Adds date_status, rank_score and rank to results (query_id, query, pos, published_at, trust_tier, score).
 
@@ -156,8 +217,11 @@ def policy_counts(results: DataFrame, as_of, stale_after: int = STALE_DAYS) -> D
     return future.join(kept, "query_id", "left").fillna(0, ["stale", "undated"])
 
 
-def source_mix(citations: DataFrame, key: str = "answer_id") -> DataFrame:
-    """Web citations of each answer by tier and date status."""
+def source_mix(citations: DataFrame, key: str = "answer_id", queries: DataFrame | None = None) -> DataFrame:
+    """Web citations of each answer by tier and date status; with queries (key, query) also whether the question is time-sensitive."""
     web = citations.filter("source_type = 'web'")
     tiers = [F.count_if(F.col("trust_tier") == t).alias(f"tier_{t}") for t in (1, 2, 3)]
-    return web.groupBy(key).agg(*tiers, F.count_if(F.col("date_status") == "undated").alias("undated"), F.count_if(F.col("date_status") == "stale").alias("stale"))
+    out = web.groupBy(key).agg(*tiers, F.count_if(F.col("date_status") == "undated").alias("undated"), F.count_if(F.col("date_status") == "stale").alias("stale"))
+    if queries is None:
+        return out
+    return out.join(queries.select(key, F.coalesce(is_time_sensitive("query"), F.lit(False)).alias("time_sensitive")), key, "left").fillna(False, ["time_sensitive"])

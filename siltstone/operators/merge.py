@@ -85,3 +85,19 @@ def new_index_rows(chunks: DataFrame, indexed: DataFrame) -> DataFrame:
     """Rows to add to the index: the first of repeated ids (by pos), without ids that it has."""
     nth = F.row_number().over(Window.partitionBy("id").orderBy("pos"))
     return chunks.withColumn("__n", nth).filter("__n = 1").drop("__n").join(indexed.select("id"), "id", "left_anti")
+
+
+def write_index(rows: DataFrame, path: str) -> DataFrame:
+    """Writes index rows (id, text, chunk_type, ...) below path, tables and texts each into a folder of their own, and counts them: sink, n.
+
+    Whatever isn't a table goes with the texts.  The counts are those of the written rows.
+    """
+    sink = F.when(F.col("chunk_type") == "table", "table").otherwise("text")
+    rows.withColumns({"sink": sink, "char_count": F.length("text")}).write.partitionBy("sink").parquet(path)
+    return rows.sparkSession.read.parquet(path).groupBy("sink").agg(F.count("*").alias("n"))
+
+
+def index_stats(rows: DataFrame) -> DataFrame:
+    """One row: doc_count (distinct sources), text_chunks, table_chunks of an index (source, chunk_type)."""
+    table = F.coalesce(F.col("chunk_type") == "table", F.lit(False))
+    return rows.agg(F.countDistinct("source").alias("doc_count"), F.count_if(~table).alias("text_chunks"), F.count_if(table).alias("table_chunks"))

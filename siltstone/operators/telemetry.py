@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.finance import percentage, summary
-from siltstone.functions.scalars import audit_outcome
+from siltstone.functions.scalars import audit_outcome, safe_url
 
 
 def run_rollup(events: DataFrame) -> DataFrame:
@@ -95,6 +95,38 @@ def markdown_export(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x.l), "\n\n").alias("markdown"))
 
 
+def research_records(conversations: DataFrame, messages: DataFrame, citations: DataFrame, exported: str, footer: str, lang: str = "zh") -> DataFrame:
+    """conv_id, markdown: title, roles and contents in the order of turns, and each answer's numbered sources.
+
+    conversations: conv_id, title.  messages: conv_id, turn, role, text.  citations: conv_id, turn, pos, icon, display, url, publisher,
+    published_at, trust_tier, source_type, snippet.  exported: the time to name.  A conversation's own rows are gathered, no more.
+    """
+    zh = lang == "zh"
+    # fixed values: the labels of a record
+    roles = {"user": "用户", "assistant": "分析", "system": "系统"} if zh else {"user": "User", "assistant": "Analysis", "system": "System"}
+    sources, untitled, when = ("来源", "未命名研究", "导出时间") if zh else ("Sources", "Untitled research", "Exported")
+    has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+
+    link = safe_url(F.coalesce("url", F.lit("")))
+    shown = F.coalesce(F.nullif(F.col("display"), F.lit("")), F.lit("Source"))
+    label = F.when(link != "", F.concat(F.lit("["), shown, F.lit("]("), link, F.lit(")"))).otherwise(shown)
+    tier = F.when((F.col("trust_tier") > 0) & F.col("source_type").isin("web", "financial"), F.concat(F.lit("Tier "), F.col("trust_tier").cast("string")))
+    notes = F.concat_ws(" | ", F.when(has("publisher"), F.col("publisher")), F.when(has("published_at"), F.col("published_at")), tier)
+    quote = F.when(has("snippet"), F.concat(F.lit("\n   > "), F.trim(F.replace(F.col("snippet"), F.lit("\n"), F.lit(" "))))).otherwise("")
+    entry = F.concat(F.lit(". **"), F.coalesce("icon", F.lit("SOURCE")), F.lit("** "), label, F.when(notes != "", F.concat(F.lit(" - "), notes)).otherwise(""), quote)
+    listed = citations.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("pos", entry.alias("entry")))).alias("c"))
+    listed = listed.select("conv_id", "turn", F.array_join(F.transform("c", lambda x, i: F.concat((i + 1).cast("string"), x.entry)), "\n\n").alias("sources"))
+
+    role = F.coalesce(F.create_map(*[F.lit(x) for kv in roles.items() for x in kv])[F.col("role")], F.col("role"), F.lit(""))
+    more = F.when(F.col("sources").isNotNull(), F.concat(F.lit(f"\n\n### {sources}\n\n"), F.col("sources"))).otherwise("")
+    part = F.concat(F.lit("## "), role, F.lit("\n\n"), F.coalesce("text", F.lit("")), more)
+    bodies = messages.join(listed, ["conv_id", "turn"], "left").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", part.alias("part")))).alias("m"))
+    title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit(untitled))
+    body = F.array_join(F.transform("m", lambda x: x.part), "\n\n")
+    whole = F.concat_ws("\n\n", F.concat(F.lit("# "), title), F.lit(f"> {when}: {exported}"), body, F.lit("---"), F.lit(footer))
+    return conversations.select("conv_id", "title").join(bodies, "conv_id", "left").select("conv_id", F.concat(F.regexp_replace(whole, r"^\s+|\s+$", ""), F.lit("\n")).alias("markdown"))
+
+
 def assemble_answers(tokens: DataFrame) -> DataFrame:
     """Answers from token events (answer_id, seq, token), in order; blank ones are dropped."""
     whole = tokens.groupBy("answer_id").agg(F.expr("listagg(token) WITHIN GROUP (ORDER BY seq)").alias("answer"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions.scalars import stable_id
+from siltstone.operators.evidence import common_periods
 
 #: Keys of the maps are data, so their types are declared instead of inferred.  Figures are read as text, which keeps their digits.
 _SOURCE = "source_title: string, source_url: string, source_publisher: string, source_published_at: string"
@@ -70,6 +71,19 @@ def registry_facts(companies: DataFrame) -> DataFrame:
     return rows.withColumns({"source_id": source, "trust_tier": F.lit(1)})
 
 
+def annual_sources(companies: DataFrame) -> DataFrame:
+    """company, capex_intensity (per cent) and the annual source, as `dashboard` takes them."""
+    return companies.select("company", F.col("capex.intensity_pct").cast("double").alias("capex_intensity"), "source_title", "source_publisher", "source_published_at", "source_url")
+
+
+def timeline_points(companies: DataFrame) -> DataFrame:
+    """company, name_en, period, revenue, gross_margin, published_at, source_title, source_url of the quarters that all companies have."""
+    rows = companies.select("company", "name_en", F.explode("quarterly").alias("period", "q"))
+    number = lambda key: F.col("q.metrics")[key].cast("double")
+    points = rows.select("company", "name_en", "period", number("revenue_usd_billion").alias("revenue"), number("gross_margin_pct").alias("gross_margin"), F.col("q.source_published_at").alias("published_at"), "q.source_title", "q.source_url")
+    return points.join(common_periods(points), "period", "left_semi")
+
+
 def process_mix(companies: DataFrame) -> DataFrame:
     """company, process, share (text, as disclosed)."""
     return companies.select("company", F.explode("capacity.process_mix").alias("process", "share"))
@@ -108,13 +122,55 @@ def clean_name(name) -> Column:
     return F.regexp_replace(F.regexp_extract(name, r"([^/\\]*)$", 1), r"[^\p{L}\p{N}_. -]", "_")
 
 
-def accepted_files(files: DataFrame, ready: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """name, sha256, length of new files (path, content, length): .pdf in name and content, not too long, not among ready digests (sha256)."""
+def accepted_files(files: DataFrame, ready: DataFrame, max_bytes: int = MAX_BYTES, manifest: DataFrame | None = None) -> DataFrame:
+    """name, sha256, length of new files (path, content, length): .pdf in name and content, not too long, not among ready digests (sha256).
+
+    manifest: name, sha256.  A file that it names must have a digest that it gives for that name.
+    """
     good = F.lower("path").endswith(".pdf") & (F.col("length") <= max_bytes) & (F.substring("content", 1, 5) == F.lit("%PDF-").cast("binary"))
     rows = files.filter(good).select(clean_name(F.col("path")).alias("name"), F.sha2("content", 256).alias("sha256"), "length")
+    if manifest is not None:
+        known = manifest.groupBy("name").agg(F.collect_set(F.lower("sha256")).alias("digests"))  # a file's own digests
+        rows = rows.join(known, "name", "left").filter(F.col("digests").isNull() | F.array_contains("digests", F.col("sha256"))).drop("digests")
     return rows.groupBy("sha256").agg(F.min("name").alias("name"), F.min("length").alias("length")).join(ready.select("sha256"), "sha256", "left_anti")
 
 
 def flat_metadata(metadata) -> Column:
     """map<string, string> of a struct column: lists and structs as JSON, other values as text; nulls are left out."""
     return F.map_filter(F.from_json(F.to_json(metadata), "map<string,string>"), lambda k, v: v.isNotNull())
+
+
+def _sorted_keys(value: Column, kind: T.DataType) -> Column:
+    """The value with the fields of all structs and the keys of all maps in ascending order."""
+    if isinstance(kind, T.StructType):
+        fields = [_sorted_keys(value.getField(f.name), f.dataType).alias(f.name) for f in sorted(kind, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _sorted_keys(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        pairs = F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e.key.cast("string").alias("key"), _sorted_keys(e.value, kind.valueType).alias("value"))), lambda a, b: F.when(a.key < b.key, -1).when(a.key > b.key, 1).otherwise(0))
+        return F.map_from_entries(pairs)
+    return value
+
+
+def _list_item(kind: T.DataType):
+    """Text of a list's item: JSON with sorted keys of what is nested, `None` for null."""
+    if isinstance(kind, T.StructType | T.MapType | T.ArrayType):
+        return lambda x: F.coalesce(F.to_json(_sorted_keys(x, kind), {"ignoreNullFields": "false"}), F.lit("None"))
+    return lambda x: F.coalesce(x.cast("string"), F.lit("None"))
+
+
+def stored_metadata(rows: DataFrame, column: str) -> DataFrame:
+    """rows with the struct `column` in the form that a vector store takes: scalars stay, lists become lists of text, structs and maps
+    JSON text with sorted keys (nulls inside them kept), everything else text."""
+    fields = []
+    for f in rows.schema[column].dataType:
+        value, kind = F.col(column).getField(f.name), f.dataType
+        if isinstance(kind, T.StructType | T.MapType):
+            value = F.to_json(_sorted_keys(value, kind), {"ignoreNullFields": "false"})
+        elif isinstance(kind, T.ArrayType):
+            value = F.transform(value, _list_item(kind.elementType))
+        elif not isinstance(kind, T.StringType | T.BooleanType | T.NumericType):
+            value = value.cast("string")
+        fields.append(value.alias(f.name))
+    return rows.withColumn(column, F.struct(*fields))
