@@ -126,7 +126,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of all texts and of their edits by the next document in ascending doc_id.
 
     docs: doc_id (unique), text.  A null text counts as empty.  Rows without doc_id are left out, as they have no place
-    in the order.  One document is its own next.  An empty table gives an empty result.
+    in the order.  One document is its own next.  An empty table gives an empty result.  Rows of equal doc_id, which the input
+    shouldn't hold, each give a row and follow one another in no set order.
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
