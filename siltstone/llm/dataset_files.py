@@ -29,8 +29,8 @@ SHARD_TOKENS = 1 << 18
 MIN_PAIR = 8
 #: First nonterminal; every id of a vocabulary is below it.
 FIRST_RULE = 1 << 17
-#: Words (and pieces) whose ids a worker remembers from task to task, about 200 bytes each; this bounds memory only.
-CACHE_WORDS, CACHE_PIECES = 400_000, 400_000
+#: Words that aren't plain, and pieces of plain ones, whose ids a worker remembers from task to task, about 200 bytes each; this bounds memory only.
+CACHE_WORDS, CACHE_PIECES = 200_000, 600_000
 #: Shards up to which their begins (some 30 bytes each) are broadcast to the readers; beyond it the payloads are shuffled to them.
 BROADCAST_SHARDS = 500_000
 #: Bytes of text that are encoded at a time.
@@ -44,14 +44,17 @@ FILE_SCHEMA = "part int, seq int, first_doc long, n_docs int, n_tokens long, pay
 
 
 def _sorted_pairs(left: np.ndarray, right: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (left << 32 | right) in ascending order with their places, of equal pairs in the order of place."""
+    """Pairs (left << 32 | right) in ascending order with their places, of equal pairs in the order of place; repeated places count once."""
     symbol, place = int(max(left.max(), right.max())).bit_length(), int(places.max()).bit_length()
     if 2 * symbol + place > 64:
         pairs = left.astype(np.uint64) << np.uint64(32) | right
         order = np.lexsort((places, pairs))
-        return pairs[order], places[order]
+        pairs, places = pairs[order], places[order]
+        once = np.concatenate(([True], places[1:] != places[:-1]))
+        return pairs[once], places[once]
     # pair and place in one number, which sorts several times faster
     keys = np.sort((left.astype(np.uint64) << np.uint64(symbol) | right) << np.uint64(place) | places.astype(np.uint64))
+    keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
     pairs = keys >> np.uint64(place)
     return pairs >> np.uint64(symbol) << np.uint64(32) | (pairs & np.uint64((1 << symbol) - 1)), (keys & np.uint64((1 << place) - 1)).astype(np.int64)
 
@@ -106,8 +109,7 @@ def compress(ids: np.ndarray, min_pair: int = MIN_PAIR) -> tuple[np.ndarray, np.
         gone[after[at]] = True
         after[at] = after[after[at]]
         before[after[at]] = at
-        places = np.sort(np.concatenate((places[~(hit | gone[places])], at[after[at] < n], (ahead := before[at])[ahead >= 0])))
-        places = places[np.concatenate(([True], places[1:] != places[:-1]))] if len(places) else places
+        places = np.concatenate((places[~(hit | gone[places])], at[after[at] < n], (ahead := before[at])[ahead >= 0]))
     return rules, spans, seq[:n][~gone[:n]]
 
 
@@ -178,9 +180,11 @@ class Shard:
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORD_END = "</w>"
 #: Words of letters that have one form and one lower case each (ASCII, Latin-1 and Latin Extended-A), digits and signs ...
-_PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0132-\u017f]+")
-#: ... and the same cut for them, once they are in lower case.
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017f]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\u017f]+")
+_PLAIN = "^[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-įĲ-ſ]+$"
+#: ... and the same cut for them, once they are in lower case, with a line end after each.
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-ſ]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-ſ\n]+|\n")
+#: Stands for the line end among ids; no vocabulary has it.
+_MARK = 0xFFFFFFFF
 
 
 def _byte_letters() -> dict[int, int]:
@@ -190,7 +194,7 @@ def _byte_letters() -> dict[int, int]:
 
 
 class _Pieces(dict):
-    """Ids of the pieces of words, from the tokenizer's model."""
+    """Ids of the pieces of words, from the tokenizer's model, as little-endian 32-bit bytes."""
 
     def __init__(self, tokenizer):
         super().__init__()
@@ -201,12 +205,20 @@ class _Pieces(dict):
         self[piece] = out = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
         return out
 
+    def of(self, words: list[str]) -> np.ndarray:
+        """Ids of plain words, with _MARK after those of each word."""
+        if len(self) > CACHE_PIECES:
+            self.clear()
+        self["\n"] = struct.pack("<I", _MARK)
+        return np.frombuffer(b"".join(map(self.__getitem__, _PIECE.findall(("\n".join(words) + "\n").lower()))), "<u4")
+
 
 class WordEncoder:
     """Texts in UTF-8 -> ids as little-endian 32-bit bytes, as the tokenizer gives them without special tokens added.
 
-    Where the tokenizer drops white space and never joins across it (the word vocabulary), each distinct word is encoded once and
-    remembered; a plain word is cut into pieces, which many words share.  Other tokenizers encode whole texts.
+    Where the tokenizer drops white space and never joins across it (the word vocabulary), each distinct word is encoded once: plain
+    words from their pieces, which many words share and which are remembered, all others through the library, and are remembered.
+    Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -219,18 +231,20 @@ class WordEncoder:
         cut = json.dumps(file.get("pre_tokenizer")) if file.get("pre_tokenizer") else ""
         self.by_words = json.dumps(_CUT)[1:-1] in cut and file["model"].get("end_of_word_suffix") == _WORD_END
         self.special = re.compile("|".join(re.escape(t["content"]) for t in file.get("added_tokens", [])) or r"(?!)")
-        self.words: dict[str, bytes | None] = {}
+        self.words: dict[str, bytes] = {}
         self.pieces = _Pieces(self.tokenizer)
 
     def _library(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _word(self, word: str) -> bytes | None:
-        """Ids of a plain word; None for any other."""
-        if _PLAIN.fullmatch(word) and not ("<" in word and self.special.search(word)):
-            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(word.lower())))
-        return None
+    def _others(self, words: list[str]) -> list[bytes]:
+        """Ids of words that aren't plain."""
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        new = [w for w in words if w not in self.words]
+        self.words.update(zip(new, self._library([w.encode() for w in new]), strict=True))
+        return [self.words[w] for w in words]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_words:
@@ -240,20 +254,21 @@ class WordEncoder:
 
         split = pc.ascii_split_whitespace(pa.array([t.decode("utf-8", "replace") for t in texts], pa.large_string()))
         coded = split.flatten().dictionary_encode()
-        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        known = self.words
-        new = [w for w in distinct if w not in known]
-        known.update(zip(new, map(self._word, new), strict=True))
-        others = [w for w in new if known[w] is None]
-        known.update(zip(others, self._library([w.encode() for w in others]), strict=True))
-        own = list(map(known.__getitem__, distinct))
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        ids = np.frombuffer(b"".join(own), "<u4")
-        sizes = np.fromiter(map(len, own), np.int64, len(own)) >> 2
-        begins, n = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        distinct, at = coded.dictionary, coded.indices.to_numpy()
+        plain = pc.match_substring_regex(distinct, _PLAIN).to_numpy(zero_copy_only=False)
+        signed = np.flatnonzero(pc.match_substring(distinct, "<").to_numpy(zero_copy_only=False))
+        plain[[k for k in signed.tolist() if self.special.search(distinct[k].as_py())]] = False
+        marked = self.pieces.of(distinct.filter(pa.array(plain)).to_pylist()) if plain.any() else np.empty(0, np.uint32)
+        others = self._others(distinct.filter(pa.array(~plain)).to_pylist())
+        ids = np.concatenate((marked, np.frombuffer(b"".join(others), "<u4")))
+        # where a word's ids begin, and how many they are
+        first, sizes = np.empty((2, len(distinct)), np.int64)
+        marks = np.flatnonzero(marked == _MARK)
+        first[plain] = np.concatenate(([0], marks[:-1] + 1)) if len(marks) else 0
+        sizes[plain] = marks - first[plain]
+        other = np.fromiter(map(len, others), np.int64, len(others)) >> 2
+        first[~plain], sizes[~plain] = len(marked) + np.cumsum(other) - other, other
+        begins, n = first[at], sizes[at]
         ends = np.concatenate(([0], np.cumsum(n)))
         out = ids[np.repeat(begins - ends[:-1], n) + np.arange(ends[-1])].tobytes()
         bounds = (4 * ends[split.offsets.to_numpy()]).tolist()
