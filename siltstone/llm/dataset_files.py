@@ -205,12 +205,21 @@ class _Pieces(dict):
         self[piece] = out = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
         return out
 
-    def of(self, words: list[str]) -> np.ndarray:
-        """Ids of plain words, with _MARK after those of each word."""
+    def of(self, lines: str) -> np.ndarray:
+        """Ids of plain words, each on a line of its own that ends, with _MARK after those of each word."""
         if len(self) > CACHE_PIECES:
             self.clear()
         self["\n"] = struct.pack("<I", _MARK)
-        return np.frombuffer(b"".join(map(self.__getitem__, _PIECE.findall(("\n".join(words) + "\n").lower()))), "<u4")
+        return np.frombuffer(b"".join(map(self.__getitem__, _PIECE.findall(lines.lower()))), "<u4")
+
+
+def _lines(words) -> str:
+    """The words of an Arrow array (those of one step, so below 2 GB), a line end after each."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())), "\n")[0].as_py()
+    return joined + "\n" if len(words) else ""
 
 
 class WordEncoder:
@@ -258,7 +267,7 @@ class WordEncoder:
         plain = pc.match_substring_regex(distinct, _PLAIN).to_numpy(zero_copy_only=False)
         signed = np.flatnonzero(pc.match_substring(distinct, "<").to_numpy(zero_copy_only=False))
         plain[[k for k in signed.tolist() if self.special.search(distinct[k].as_py())]] = False
-        marked = self.pieces.of(distinct.filter(pa.array(plain)).to_pylist()) if plain.any() else np.empty(0, np.uint32)
+        marked = self.pieces.of(_lines(distinct.filter(pa.array(plain))))
         others = self._others(distinct.filter(pa.array(~plain)).to_pylist())
         ids = np.concatenate((marked, np.frombuffer(b"".join(others), "<u4")))
         # where a word's ids begin, and how many they are
