@@ -66,14 +66,18 @@ def safe_url(url, https_only: bool = False) -> Column:
 
 
 def source_date(value) -> Column:
-    """Day of an ISO stamp (its own, whatever its offset), else of an RFC 2822 stamp, else of the first 20yy-m-d in the text, else null."""
+    """Day of an ISO stamp (its own, whatever its offset), else of an RFC 2822 stamp, else of the first 20yy-m-d in the text, else null.
+
+    ISO years with a sign (before year 0, after 9999) count too.
+    """
     text = F.trim(_col(value))
+    signed = F.regexp_extract(text, r"^([+-]\d{4,6}-\d{2}-\d{2})(?:[T ]\d{2}:?\d{2}.*)?$", 1).try_cast("date")
     iso = F.try_to_date(F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})(?:[T ]\d{2}:?\d{2}.*)?$", 1), "yyyy-MM-dd")
     basic = F.try_to_date(F.regexp_extract(text, r"^(\d{8})(?:T\d{4}.*)?$", 1), "yyyyMMdd")
     mail = F.try_to_date(F.regexp_extract(text, r"(?i)^(?:[a-z]{3},\s*)?(\d{1,2} [a-z]{3} \d{4})\s+\d{1,2}:\d{2}", 1), "d MMM yyyy")
     loose = r"(?<![0-9A-Za-z_])(20\d{2})[-/](0?[1-9]|1[0-2])[-/](0?[1-9]|[12]\d|3[01])(?![0-9A-Za-z_])"
     found = F.try_to_date(F.concat_ws("-", *[F.regexp_extract(text, loose, k) for k in (1, 2, 3)]), "yyyy-M-d")
-    return F.coalesce(iso, basic, mail, found)
+    return F.coalesce(iso, signed, basic, mail, found)
 
 
 def normalize_period(value) -> Column:
