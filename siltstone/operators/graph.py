@@ -16,6 +16,9 @@ from siltstone.functions.scalars import stable_id
 #: Aliases, and letters of them, in one automaton; larger tables take several, each in a pass of its own over the texts.
 ALIAS_BLOCK, ALIAS_LETTERS = 300_000, 1 << 23
 
+#: Lists over which the reports that name the same companies are dealt.
+REPORT_LISTS = 64
+
 #: The automaton that this worker holds, by the pass it belongs to.
 _automata: dict = {}
 
@@ -74,11 +77,17 @@ def mentions(texts: DataFrame, aliases: DataFrame, key: str = "query_id", text:
 def scoped_sources(queries: DataFrame, companies: DataFrame, reports: DataFrame) -> DataFrame:
     """query_id, source: reports (source, title) whose name or title holds an alias of a company that the query names, each once.
 
-    companies: name, alias, pos.  Queries without such a company have no rows.
+    companies: name, alias, pos.  Queries without such a company have no rows.  Queries and reports go by the set of companies that they
+    name: which sets meet is settled once for all rows that hold them, so the pairs themselves are written out as they come, never shuffled.
     """
-    named = mentions(queries, companies, "query_id", "query").select("query_id", "name")
-    held = mentions(reports.select("source", F.concat_ws(" ", "source", "title").alias("text")), companies, "source").select("source", "name")
-    return named.join(held, "name").select("query_id", "source").distinct()
+    names = F.sort_array(F.collect_set("name"))
+    asked = mentions(queries, companies, "query_id", "query").groupBy("query_id").agg(names.alias("asked"))
+    held = mentions(reports.select("source", F.concat_ws(" ", "source", "title").alias("text")), companies, "source").groupBy("source").agg(names.alias("held"))
+    sets = lambda rows, c: rows.select(c).distinct().select(c, F.explode(c).alias("name"))
+    meet = sets(asked, "asked").join(sets(held, "held"), "name").select("asked", "held").distinct()
+    # some reports in a row, so that the join meets few rows of a set
+    lists = held.groupBy("held", F.pmod(F.xxhash64("source"), F.lit(REPORT_LISTS))).agg(F.collect_list("source").alias("sources"))
+    return asked.join(meet.join(lists, "held").select("asked", "sources"), "asked").select("query_id", F.explode("sources").alias("source"))
 
 
 def term_aliases(name, english):
