@@ -14,11 +14,17 @@ from pyspark.sql import functions as F
 from siltstone.operators import chunks
 
 
-class TextSections:
-    """pos, section, text; a null text has no sections."""
+# What Python's \s and strip() take, and lines that end with \n only, as in chunks.cut_sections.  Backslashes are doubled for SQL.
+_BLANK = r"[\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+_HEADING = rf"(?md)^#{{1,3}}{_BLANK}+.+$"
+_ENDS = rf"\\A{_BLANK}+|(?<!{_BLANK}){_BLANK}+\\z"
 
-    def eval(self, text: str) -> Iterator[tuple[int, str, str]]:
-        yield from chunks.cut_sections(text)
+#: pos, section, text; a null text has no sections.  In Spark's own functions: a call for each row costs no round to Python.
+_SECTIONS = f"""CREATE OR REPLACE TEMPORARY FUNCTION text_sections(md STRING) RETURNS TABLE (pos INT, section STRING, text STRING)
+RETURN SELECT p, r.section, r.text FROM posexplode(filter(zip_with(
+  concat(array('{chunks.FIRST_SECTION}'), transform(regexp_extract_all(md, '{_HEADING}', 0), h -> btrim(h, '# \\t'))),
+  transform(split(md, '{_HEADING}', -1), b -> regexp_replace(b, '{_ENDS}', '')),
+  (h, b) -> named_struct('section', h, 'text', b)), r -> r.text <> '')) AS t(p, r)"""
 
 
 class TextChunks:
@@ -30,6 +36,6 @@ class TextChunks:
 
 
 def register(spark: SparkSession) -> None:
-    """Makes text_sections(text) and text_chunks(text, size, overlap) known to the session's SQL; rows travel as Arrow batches."""
-    spark.udtf.register("text_sections", F.udtf(TextSections, returnType="pos int, section string, text string", useArrow=True))
+    """Makes text_sections(text) and text_chunks(text, size, overlap) known to the session's SQL; rows of the latter travel as Arrow batches."""
+    spark.sql(_SECTIONS)
     spark.udtf.register("text_chunks", F.udtf(TextChunks, returnType="pos int, text string, char_count int", useArrow=True))
