@@ -5,16 +5,19 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from siltstone.functions.scalars import short_hash
 
 SIZE, OVERLAP = 512, 64
+#: Letters of texts, and rows cut from them, that a task holds as Python's objects at a time.
+SLICE, SLICE_ROWS = 1 << 20, 10_000
 FIRST_SECTION = "正文"
 _HEADING = re.compile(r"^#{1,3}\s+.+$", re.M)
 _SENTENCE = re.compile(r"(?<=[。！？.!?\n])\s*")
@@ -31,15 +34,40 @@ def cut_sections(text: str | None) -> Iterator[tuple[int, str, str]]:
     yield from ((pos, *row) for pos, row in enumerate(row for row in zip(names, bodies, strict=True) if row[1]))
 
 
-def sections(pages: DataFrame) -> DataFrame:
-    """doc_id, page, pos, section, text: pages cut at headings of level 1 to 3; empty sections are dropped."""
+def _cut(rows: DataFrame, schema: str, cut: Callable[..., Iterator[tuple]]) -> DataFrame:
+    """The rows that cut(*row) gives for each row, whose last column is a text.  No shuffle.
+
+    A task holds a batch as Arrow, and about SLICE letters of its texts, with what is cut from them, as Python's objects.
+    """
+    empty = rows.sparkSession.createDataFrame([], schema).schema
+    arrow = to_arrow_schema(empty)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc, page, *row) for doc, page, text in zip(batch["doc_id"], batch["page"], batch["text"], strict=True) for row in cut_sections(text)]
-            yield pd.DataFrame(rows, columns=["doc_id", "page", "pos", "section", "text"])
+            out, letters = [], 0
+            for n in range(batch.num_rows):
+                row = [column[n].as_py() for column in batch.columns]
+                letters += len(row[-1] or "")
+                for one in cut(*row):
+                    out.append(one)
+                    if len(out) >= SLICE_ROWS:
+                        yield packed(out)
+                        out = []
+                if letters >= SLICE and out:
+                    yield packed(out)
+                    out, letters = [], 0
+            if out:
+                yield packed(out)
+
+    return rows.mapInArrow(run, empty)
+
 
-    return pages.select("doc_id", "page", "text").mapInPandas(cut, "doc_id long, page int, pos int, section string, text string")
+def sections(pages: DataFrame) -> DataFrame:
+    """doc_id, page, pos, section, text: pages cut at headings of level 1 to 3; empty sections are dropped."""
+    return _cut(pages.select("doc_id", "page", "text"), "doc_id long, page int, pos int, section string, text string", lambda doc, page, text: ((doc, page, *row) for row in cut_sections(text)))
 
 
 def paragraphs(texts: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -97,18 +125,17 @@ def pack(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
     return out
 
 
-def chunk_texts(rows: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """id, doc_id, page, section, pos, text, char_count of the chunks of rows (doc_id, page, section, text).  No shuffle."""
+CHUNK = "id string, doc_id long, page int, section string, pos int, text string, char_count int"
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc, page, section, text in zip(batch["doc_id"], batch["page"], batch["section"], batch["text"], strict=True):
-                for pos, chunk in enumerate(pack(text or "", size, overlap)):
-                    out.append((hashlib.md5(f"{doc}|{page}|{section}|{pos}|{chunk}".encode()).hexdigest()[:12], doc, page, section, pos, chunk.strip(), len(chunk)))
-            yield pd.DataFrame(out, columns=["id", "doc_id", "page", "section", "pos", "text", "char_count"])
 
-    return rows.select("doc_id", "page", "section", "text").mapInPandas(cut, "id string, doc_id long, page int, section string, pos int, text string, char_count int")
+def _chunks_of(doc, page, section, text: str | None, size: int, overlap: int) -> Iterator[tuple]:
+    for pos, chunk in enumerate(pack(text or "", size, overlap)):
+        yield hashlib.md5(f"{doc}|{page}|{section}|{pos}|{chunk}".encode()).hexdigest()[:12], doc, page, section, pos, chunk.strip(), len(chunk)
+
+
+def chunk_texts(rows: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """id, doc_id, page, section, pos, text, char_count of the chunks of rows (doc_id, page, section, text).  No shuffle."""
+    return _cut(rows.select("doc_id", "page", "section", "text"), CHUNK, lambda *row: _chunks_of(*row, size, overlap))
 
 
 def tables(pages: DataFrame) -> DataFrame:
@@ -153,9 +180,10 @@ def numbered_table_chunks(found: DataFrame) -> DataFrame:
 def chunk_documents(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Text chunks of all sections and table chunks together, without a shuffle.
 
-    Only a blank page has no sections, and chunking it whole gives no chunk either.
+    Only a blank page has no sections, and chunking it whole gives no chunk either.  Sections are chunked where they are cut.
     """
-    text = chunk_texts(sections(pages).select("doc_id", "page", "section", "text"), size, overlap).select("id", "doc_id", "page", "text", F.lit("text").alias("chunk_type"))
+    both = lambda doc, page, text: (row for _, section, own in cut_sections(text) for row in _chunks_of(doc, page, section, own, size, overlap))
+    text = _cut(pages.select("doc_id", "page", "text"), CHUNK, both).select("id", "doc_id", "page", "text", F.lit("text").alias("chunk_type"))
     return text.unionByName(chunk_tables(tables(pages)).select("id", "doc_id", "page", "text", "chunk_type"))
 
 
