@@ -15,6 +15,7 @@ grows with the vocabulary is broadcast: blocks of documents (and blocks of the v
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,6 +36,8 @@ CHUNK, SHARE = 16, 0.02
 #: Bytes of text in one block of documents, and tokens in one block of the vocabulary.
 BLOCK_BYTES = 20 << 20
 BLOCK_TOKENS = 50_000
+#: Tokens (their first bytes) for each block of the vocabulary from which the blocks' bounds are taken; they decide sizes, never a result.
+SAMPLE_TOKENS, SAMPLE_BYTES = 32, 1024
 _LN10 = float(np.log(10))
 
 
@@ -173,6 +176,16 @@ def context_tree(grams: DataFrame, classes: int) -> DataFrame:
     return dealt.groupBy("bucket").cogroup(above.groupBy("bucket")).applyInPandas(finish, "gram long, log_p array<double>")
 
 
+def vocabulary_bounds(sample: list[bytes], parts: int) -> list[bytes]:
+    """First tokens of all blocks of the vocabulary but the first one: ranges that hold about as many bytes each.
+
+    Tokens with a common begin have most contexts in common, so a range asks for half as many as a block dealt by hashes.
+    """
+    tokens = sorted(sample)
+    ends = np.cumsum([len(t) + 1 for t in tokens])
+    return [tokens[k] for k in np.unique(np.searchsorted(ends, ends[-1] * np.arange(1, parts) / parts, "right"))] if tokens else []
+
+
 # -- corpus -------------------------------------------------------------------------------------------------------
 
 
@@ -266,7 +279,13 @@ def score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFram
     n_train, v_train = int(by_class.sum()), int(sums["v"] or 0)
     prior = (by_class + 1) / (by_class + 1).sum()
     parts = max(1, -(-sums["all"] // BLOCK_TOKENS), partitions(docs.sparkSession))
-    vocabulary = vocabulary.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int"))
+    sample = vocabulary.sample(min(1.0, SAMPLE_TOKENS * parts / max(sums["all"], 1)), seed=0).select(F.substring("token", 1, SAMPLE_BYTES).alias("t"))
+    bounds = vocabulary_bounds([bytes(r["t"]) for r in sample.toLocalIterator()], parts)
+
+    def part_of(tokens: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(bounds, bytes(t)) for t in tokens], dtype="int32")
+
+    vocabulary = vocabulary.withColumn("part", F.pandas_udf(part_of, "int")("token"))
     held = stored(vocabulary.groupBy("part").applyInPandas(gram_counts, f"part int, gram long, {fields}"), "grams")
     grams = stored(held.groupBy("gram").agg(*[F.sum(c).alias(c) for c in columns]), "gram-sums")
     told = held.select("part", "gram").join(context_tree(grams, classes), "gram")

@@ -413,3 +413,22 @@ def test_tree_is_a_distribution(spark):
     rows = [(int(g), 3 if g & 255 == 97 else 0) for g in grams]
     out = language_model.context_tree(spark.createDataFrame(rows, "gram long, c0 long"), 1).collect()
     assert abs(sum(np.exp(r.log_p[0]) for r in out) - 1) < 1e-9
+
+
+def test_vocabulary_is_dealt_by_ranges_of_bytes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    begins = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(40)]
+    words = [b + e for b in begins for e in ("", "ab", "cd", "ef", "gh", "ij", "kl", "mn", "op", "qr")]
+    docs = spark.createDataFrame([(i, " ".join(rng.permutation(words)[:200]), "en") for i in range(6)], "doc_id long, text string, lang string")
+    kept = {}
+    monkeypatch.setattr(language_model, "stored", lambda df, label, put=language_model.stored: kept.setdefault(label, put(df, label)))
+    whole = {r.doc_id: r.score for r in language_model.score(docs, F.lit(False)).collect()}
+    kept.clear()
+    monkeypatch.setattr(language_model, "BLOCK_TOKENS", 10)
+    assert {r.doc_id: r.score for r in language_model.score(docs, F.lit(False)).collect()} == pytest.approx(whole, rel=1e-12)
+    tokens = [bytes(r.token) for r in kept["vocabulary"].collect()]
+    size = lambda part: len(np.unique(language_model._bytes_and_contexts(part)[0]))
+    anyhow = sum(size([tokens[k] for k in part]) for part in np.array_split(rng.permutation(len(tokens)), len(tokens) // 10))
+    assert kept["grams"].count() < 0.6 * anyhow
+    bounds = language_model.vocabulary_bounds([b"x" * 99] + [b"a%d" % k for k in range(100)], 4)
+    assert 1 <= len(bounds) <= 3 and bounds == sorted(bounds) and language_model.vocabulary_bounds([], 4) == [] and language_model.vocabulary_bounds([b""], 1) == []
