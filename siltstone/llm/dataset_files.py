@@ -43,20 +43,32 @@ FILE_SCHEMA = "part int, seq int, first_doc long, n_docs int, n_tokens long, pay
 # -- grammar ------------------------------------------------------------------------------------------------------
 
 
-def _sorted_pairs(left: np.ndarray, right: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (left << 32 | right) in ascending order with their places, of equal pairs in the order of place; repeated places count once."""
-    symbol, place = int(max(left.max(), right.max())).bit_length(), int(places.max()).bit_length()
-    if 2 * symbol + place > 64:
+def _sorted_pairs(left: np.ndarray, right: np.ndarray, places: np.ndarray, most: int, n: int) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+    """Pairs (left << bits | right) in ascending order with their places, of equal pairs in the order of place, and bits; repeated places count once.
+
+    Symbols are most at most, places below n.
+    """
+    bits, shift = most.bit_length(), np.uint64(n.bit_length())
+    if 2 * bits + n.bit_length() > 64:
         pairs = left.astype(np.uint64) << np.uint64(32) | right
         order = np.lexsort((places, pairs))
         pairs, places = pairs[order], places[order]
         once = np.concatenate(([True], places[1:] != places[:-1]))
-        return pairs[once], places[once]
+        return pairs[once], places[once], np.uint64(32)
     # pair and place in one number, which sorts several times faster
-    keys = np.sort((left.astype(np.uint64) << np.uint64(symbol) | right) << np.uint64(place) | places.astype(np.uint64))
-    keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
-    pairs = keys >> np.uint64(place)
-    return pairs >> np.uint64(symbol) << np.uint64(32) | (pairs & np.uint64((1 << symbol) - 1)), (keys & np.uint64((1 << place) - 1)).astype(np.int64)
+    keys = left.astype(np.uint64)
+    keys <<= np.uint64(bits)
+    keys |= right
+    keys <<= shift
+    keys |= places.view(np.uint64)
+    keys.sort()
+    once = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=once[1:])
+    if not once.all():
+        keys = keys[once]
+    places = (keys & np.uint64((1 << int(shift)) - 1)).view(np.int64)
+    keys >>= shift
+    return keys, places, np.uint64(bits)
 
 
 def compress(ids: np.ndarray, min_pair: int = MIN_PAIR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,10 +85,10 @@ def compress(ids: np.ndarray, min_pair: int = MIN_PAIR) -> tuple[np.ndarray, np.
     after, before = np.arange(1, n + 2), np.arange(-1, n)
     gone = np.zeros(n + 1, bool)
     places = np.arange(n - 1)
-    rules, spans = np.empty((0, 2), np.uint32), np.empty(0, np.int64)
+    made, rules, spans = 0, [], np.ones(1024, np.int64)  # spans: of any id, then of each rule
     while len(places) >= min_pair:
-        pairs, places = _sorted_pairs(seq[places], seq[after[places]], places)
-        edge = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1], [True])))
+        pairs, places, bits = _sorted_pairs(seq[places], seq[after[places]], places, FIRST_RULE + made, n)
+        edge = np.concatenate(([0], np.flatnonzero(pairs[1:] != pairs[:-1]) + 1, [len(pairs)]))
         counts = np.diff(edge)
         frequent = counts >= min_pair
         kinds = pairs[edge[:-1]][frequent]
@@ -85,11 +97,11 @@ def compress(ids: np.ndarray, min_pair: int = MIN_PAIR) -> tuple[np.ndarray, np.
         if not len(kinds):
             break
         slot = np.repeat(np.arange(len(kinds)), counts)
-        left, right = (kinds >> np.uint64(32)).astype(np.uint32), kinds.astype(np.uint32)
+        left, right = (kinds >> bits).astype(np.uint32), (kinds & np.uint64((1 << int(bits)) - 1)).astype(np.uint32)
         # a symbol takes the side on which its frequent pairs weigh more, and changes sides from round to round where they weigh alike
         symbols, side = np.unique(np.concatenate((left, right)), return_inverse=True)
         more = np.bincount(side[: len(left)], counts, len(symbols)) - np.bincount(side[len(left) :], counts, len(symbols))
-        opens = (more > 0) | ((more == 0) & (mix(symbols.astype(np.uint64) << np.uint64(32) | np.uint64(len(rules))) & np.uint64(1) == 0))
+        opens = (more > 0) | ((more == 0) & (mix(symbols.astype(np.uint64) << np.uint64(32) | np.uint64(made)) & np.uint64(1) == 0))
         chosen = opens[side[: len(left)]] & ~opens[side[len(left) :]]
         if not chosen.any():  # all sides agree, as for runs of one symbol: take the most frequent pair alone
             chosen[np.argmax(counts)] = True
@@ -103,14 +115,17 @@ def compress(ids: np.ndarray, min_pair: int = MIN_PAIR) -> tuple[np.ndarray, np.
                 continue
             at, slot = at[second], slot[second]
         fresh = np.column_stack((left[chosen], right[chosen]))
-        seq[at] = (FIRST_RULE + len(rules) + (np.cumsum(chosen) - 1)[slot]).astype(np.uint32)
-        spans = np.concatenate((spans, np.where(fresh < FIRST_RULE, 1, np.append(spans, 1)[np.maximum(fresh.astype(np.int64) - FIRST_RULE, 0)]).sum(1)))
-        rules = np.concatenate((rules, fresh))
+        seq[at] = (FIRST_RULE + made + (np.cumsum(chosen) - 1)[slot]).astype(np.uint32)
+        if made + len(fresh) >= len(spans):
+            spans = np.concatenate((spans, np.ones(made + len(fresh), np.int64)))
+        spans[made + 1 : made + 1 + len(fresh)] = spans[np.maximum(fresh.astype(np.int64) - (FIRST_RULE - 1), 0)].sum(1)
+        rules.append(fresh)
+        made += len(fresh)
         gone[after[at]] = True
         after[at] = after[after[at]]
         before[after[at]] = at
         places = np.concatenate((places[~(hit | gone[places])], at[after[at] < n], (ahead := before[at])[ahead >= 0]))
-    return rules, spans, seq[:n][~gone[:n]]
+    return np.concatenate((np.empty((0, 2), np.uint32), *rules)), spans[1 : made + 1], seq[:n][~gone[:n]]
 
 
 def expand(rules: np.ndarray, spans: np.ndarray, seq: np.ndarray) -> np.ndarray:

@@ -432,3 +432,17 @@ def test_vocabulary_is_dealt_by_ranges_of_bytes(spark, monkeypatch):
     assert kept["grams"].count() < 0.6 * anyhow
     bounds = language_model.vocabulary_bounds([b"x" * 99] + [b"a%d" % k for k in range(100)], 4)
     assert 1 <= len(bounds) <= 3 and bounds == sorted(bounds) and language_model.vocabulary_bounds([], 4) == [] and language_model.vocabulary_bounds([b""], 1) == []
+
+
+def test_pairs_are_sorted_with_their_places():
+    rng = np.random.default_rng(2)
+    for most, n in (((1 << 17) + 5, 1 << 18), (1 << 30, 1 << 20)):  # in one number, and in two
+        left, right = rng.integers(most - 3, most + 1, (2, 500)).astype(np.uint32)
+        places = rng.permutation(n)[:500]
+        again = np.concatenate((np.arange(500), np.arange(0, 500, 7)))  # repeated places count once
+        pairs, at, bits = dataset_files._sorted_pairs(left[again], right[again], places[again], most, n)
+        got = list(zip((pairs >> bits).tolist(), (pairs & np.uint64((1 << int(bits)) - 1)).tolist(), at.tolist(), strict=True))
+        assert got == sorted(zip(left.tolist(), right.tolist(), places.tolist(), strict=True))
+    ids = np.tile(np.arange(3000), 40)  # more rules than the first table of lengths has room for
+    rules, spans, seq = dataset_files.compress(ids.astype(np.uint32))
+    assert len(rules) > 2000 and len(spans) == len(rules) and (dataset_files.expand(rules, spans, seq) == ids).all() and len(seq) < 100
