@@ -16,8 +16,11 @@ from siltstone.functions.scalars import stable_id
 #: Aliases, and letters of them, in one automaton; larger tables take several, each in a pass of its own over the texts.
 ALIAS_BLOCK, ALIAS_LETTERS = 300_000, 1 << 23
 
-#: Lists over which the reports that name the same companies are dealt.
-REPORT_LISTS = 64
+#: Ids in a list of queries, or of reports, that name the same companies; pairs that a task writes (both about), and tasks at most.
+LISTED, TASK_PAIRS, TASKS = 2048, 1 << 25, 1 << 14
+
+#: Queries and reports of such lists that are paired at a time.
+QUERY_RUN, REPORT_RUN = 16, 128
 
 #: The automaton that this worker holds, by the pass it belongs to.
 _automata: dict = {}
@@ -74,20 +77,32 @@ def mentions(texts: DataFrame, aliases: DataFrame, key: str = "query_id", text:
     return reduce(DataFrame.unionByName, found or [out]).groupBy(key, by).agg(F.min("pos").alias("pos"))
 
 
+def _listed(rows: DataFrame, key: str, names: str, sizes: DataFrame) -> DataFrame:
+    """names, `key`_list, ids: the keys of the rows that hold the same names, in lists of about LISTED at most.  sizes: names, rows that hold them."""
+    dealt = rows.join(sizes.toDF(names, "n"), names).withColumn(f"{key}_list", F.pmod(F.xxhash64(key), F.ceil(F.col("n") / LISTED)))
+    return dealt.groupBy(names, f"{key}_list").agg(F.sort_array(F.flatten(F.collect_list(F.array(key)))).alias("ids"))  # with null, which a list of keys leaves out
+
+
 def scoped_sources(queries: DataFrame, companies: DataFrame, reports: DataFrame) -> DataFrame:
     """query_id, source: reports (source, title) whose name or title holds an alias of a company that the query names, each once.
 
     companies: name, alias, pos.  Queries without such a company have no rows.  Queries and reports go by the set of companies that they
-    name: which sets meet is settled once for all rows that hold them, so the pairs themselves are written out as they come, never shuffled.
+    name: which sets meet is settled once for all rows that hold them, and lists of queries meet lists of reports in tasks whose number grows
+    with the pairs.  The pairs themselves are written out as they come, never shuffled: a few reports for all queries of a list, then the next
+    few, so the same ids return at short distance and a file of columns stores a pair in a fraction of a byte.
     """
     names = F.sort_array(F.collect_set("name"))
     asked = mentions(queries, companies, "query_id", "query").groupBy("query_id").agg(names.alias("asked"))
     held = mentions(reports.select("source", F.concat_ws(" ", "source", "title").alias("text")), companies, "source").groupBy("source").agg(names.alias("held"))
-    sets = lambda rows, c: rows.select(c).distinct().select(c, F.explode(c).alias("name"))
-    meet = sets(asked, "asked").join(sets(held, "held"), "name").select("asked", "held").distinct()
-    # some reports in a row, so that the join meets few rows of a set
-    lists = held.groupBy("held", F.pmod(F.xxhash64("source"), F.lit(REPORT_LISTS))).agg(F.collect_list("source").alias("sources"))
-    return asked.join(meet.join(lists, "held").select("asked", "sources"), "asked").select("query_id", F.explode("sources").alias("source"))
+    askers, holders = asked.groupBy("asked").agg(F.count("*").alias("askers")), held.groupBy("held").agg(F.count("*").alias("holders"))
+    sets = lambda rows, c: rows.select(c, F.explode(c).alias("name"))
+    meet = sets(askers, "asked").join(sets(holders, "held"), "name").select("asked", "held").distinct()
+    pairs = meet.join(askers, "asked").join(holders, "held").agg(F.sum(F.col("askers").cast("double") * F.col("holders"))).first()[0] or 0
+    blocks = _listed(asked, "query_id", "asked", askers).withColumnRenamed("ids", "queries").join(meet, "asked").join(_listed(held, "source", "held", holders).withColumnRenamed("ids", "sources"), "held")
+    tasks = blocks.repartition(min(TASKS, 1 + int(pairs / TASK_PAIRS)), "asked", "query_id_list", "held", "source_list")
+    runs = lambda c, n: F.explode(F.transform(F.sequence(F.lit(1), F.size(c), F.lit(n)), lambda at: F.slice(c, at, n))).alias(c)
+    few = tasks.select("queries", runs("sources", REPORT_RUN)).select(runs("queries", QUERY_RUN), "sources")
+    return few.select(F.explode("queries").alias("query_id"), "sources").select("query_id", F.explode("sources").alias("source"))
 
 
 def term_aliases(name, english):
